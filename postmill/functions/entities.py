@@ -8,16 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
-from .matching import IGNORE_CASE, contains_any, fold_case
-
-MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+from .matching import IGNORE_CASE
+from .words import MONTHS, Seen
 
 ENTITY = "struct<entity_type:string,entity_text:string,confidence:double,char_position:int>"
 
 
-def _may_match(folded: Column, has_digit: Column) -> list[Column]:
+def _may_match(seen: Seen, has_digit: Column) -> list[Column]:
     """For each entity pattern, a cheap test it cannot match without."""
-    has = lambda *words: contains_any(folded, words)
+    has = lambda *words: seen.any(words, fold=True)
+    money = lambda sign: (has_digit & has(sign)) | has(sign + ",")
     return [
         has("today", "tomorrow", "yesterday"),
         has("day"),
@@ -25,9 +25,7 @@ def _may_match(folded: Column, has_digit: Column) -> list[Column]:
         has_digit & has(*MONTHS),
         has_digit & has(":"),
         has_digit & has("am", "pm"),
-        has_digit & has("$") | has("$,"),
-        has_digit & has("₹") | has("₹,"),
-        has_digit & has("£") | has("£,"),
+        money("$"), money("₹"), money("£"),
     ]
 
 
@@ -49,42 +47,42 @@ def _positions(text: Column, pattern: str, matches: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda state: F.slice(state["starts"], F.lit(1), F.size(matches)))
 
 
-def add_entities(df: DataFrame, text: str, out: str = "entities", positions: bool = True) -> DataFrame:
+def _as_entities(text: Column, matches: Column, rule: tuple[str, str, float], positions: bool) -> Column:
+    kind, pattern, confidence = rule
+    unknown = F.transform(matches, lambda _: F.lit(None).cast("int"))
+    starts = _positions(text, IGNORE_CASE + pattern, matches) if positions else unknown
+
+    def entity(match: Column, start: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("entity_type"),
+            match.alias("entity_text"),
+            F.lit(confidence).alias("confidence"),
+            start.alias("char_position"),
+        )
+
+    return F.zip_with(matches, starts, entity)
+
+
+def add_entities(df: DataFrame, text: str, seen: Seen, out: str = "entities", positions: bool = True) -> DataFrame:
     """Add the array of entities of a cleaned text, by type, pattern and place.
 
     The list is as long as the text allows and stays in the row.
     """
     found = [f"_m{i}" for i in range(len(rules.ENTITY_PATTERNS))]
-    df = df.withColumns({
-        "_folded": fold_case(F.col(text)),
-        "_digit": F.coalesce(F.col(text).rlike(r"\p{Nd}"), F.lit(False)),
-    })
+    df = df.withColumn("_digit", F.coalesce(F.col(text).rlike(r"\p{Nd}"), F.lit(False)))
     none = F.array().cast("array<string>")
-    guards = _may_match(F.col("_folded"), F.col("_digit"))
+    guards = _may_match(seen, F.col("_digit"))
     df = df.withColumns({
         name: F.when(guard, F.regexp_extract_all(F.col(text), F.lit(IGNORE_CASE + pattern), F.lit(0))).otherwise(none)
         for name, guard, (_, pattern, _) in zip(found, guards, rules.ENTITY_PATTERNS)
     })
-    parts = []
-    for name, (kind, pattern, confidence) in zip(found, rules.ENTITY_PATTERNS):
-        matches = F.col(name)
-        starts = _positions(F.col(text), IGNORE_CASE + pattern, matches) if positions else F.lit(None)
-        parts.append(
-            F.when(
-                F.size(matches) > 0,
-                F.zip_with(
-                    matches,
-                    starts if positions else F.transform(matches, lambda _: F.lit(None).cast("int")),
-                    lambda m, at, kind=kind, confidence=confidence: F.struct(
-                        F.lit(kind).alias("entity_type"),
-                        m.alias("entity_text"),
-                        F.lit(confidence).alias("confidence"),
-                        at.alias("char_position"),
-                    ),
-                ),
-            ).otherwise(F.array().cast(f"array<{ENTITY}>"))
+    parts = [
+        F.when(F.size(name) > 0, _as_entities(F.col(text), F.col(name), rule, positions)).otherwise(
+            F.array().cast(f"array<{ENTITY}>")
         )
-    return df.withColumn(out, F.concat(*parts)).drop("_folded", "_digit", *found)
+        for name, rule in zip(found, rules.ENTITY_PATTERNS)
+    ]
+    return df.withColumn(out, F.concat(*parts)).drop("_digit", *found)
 
 
 def entity_deadline(entities: Column) -> Column:
@@ -104,14 +102,13 @@ def moment(as_of: datetime | Column) -> Column:
 def add_relative_deadline(
     df: DataFrame,
     text: str,
+    seen: Seen,
     as_of: datetime | Column,
     text_out: str = "deadline_text",
     time_out: str = "deadline_datetime",
 ) -> DataFrame:
     """Add the first relative deadline found in the text, and its moment."""
     now = moment(as_of)
-    folded = F.col("_folded")
-    df = df.withColumn("_folded", fold_case(F.col(text)))
 
     def found(pattern: str, *guards: Column, group: int = 0) -> Column:
         match = F.nullif(F.regexp_extract(F.col(text), IGNORE_CASE + pattern, group), F.lit(""))
@@ -119,15 +116,15 @@ def add_relative_deadline(
             match = F.when(guard, match)
         return match
 
-    has_day = F.contains(folded, F.lit("day"))
+    has = lambda *words: seen.any(words, fold=True)
     df = df.withColumns({
-        "_two_days": found(rules.DEADLINE_TWO_DAYS, has_day, contains_any(folded, ["2", "two"])),
-        "_48_hours": found(rules.DEADLINE_48_HOURS, F.contains(folded, F.lit("within")), F.contains(folded, F.lit("48"))),
-        "_tomorrow": found(rules.DEADLINE_TOMORROW, F.contains(folded, F.lit("tomorrow"))),
-        "_weekday": found(rules.DEADLINE_WEEKDAY, has_day, contains_any(folded, ["by", "before"])),
+        "_two_days": found(rules.DEADLINE_TWO_DAYS, has("day"), has("2", "two")),
+        "_48_hours": found(rules.DEADLINE_48_HOURS, has("within"), has("48")),
+        "_tomorrow": found(rules.DEADLINE_TOMORROW, has("tomorrow")),
+        "_weekday": found(rules.DEADLINE_WEEKDAY, has("day"), has("by", "before")),
     })
     # the weekday is the last word of its match
-    name = F.element_at(F.split(fold_case(F.col("_weekday")), r"(?U)\s+"), -1)
+    name = F.element_at(F.split(F.lower("_weekday"), " "), -1)
     target = F.array_position(F.lit(rules.WEEKDAYS), name).cast("int") - 1
     ahead = F.pmod(target - F.weekday(now), F.lit(7))
     ahead = F.when(ahead == 0, 7).otherwise(ahead)
@@ -137,4 +134,4 @@ def add_relative_deadline(
         time_out: F.when(F.col("_two_days").isNotNull() | F.col("_48_hours").isNotNull(), now + F.expr("INTERVAL 2 DAYS"))
         .when(F.col("_tomorrow").isNotNull(), now + F.expr("INTERVAL 1 DAY"))
         .when(F.col("_weekday").isNotNull(), end_of_day),
-    }).drop("_folded", "_two_days", "_48_hours", "_tomorrow", "_weekday")
+    }).drop("_two_days", "_48_hours", "_tomorrow", "_weekday")

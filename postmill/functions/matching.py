@@ -1,133 +1,45 @@
-"""Rules as columns: regular expressions guarded by cheap substring tests.
-
-A regular expression costs a UTF-8 decode and a scan per row; a substring test
-is a byte scan inside generated code.  Every rule here carries (or yields) the
-literals it cannot match without, so almost all rows never reach the regex.
-"""
+"""Rules as columns: word tests first, regular expressions only where they pass."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .words import NEEDS, Seen, hint_words, literal_pieces
+
 #: Java flags that give Python's meaning to the shared patterns: Unicode
 #: character classes, and "." stopping at "\n" only.
 CASE_SENSITIVE = "(?Ud)"
 IGNORE_CASE = "(?iuUd)"
 
-#: Literals each signal pattern cannot match without: all groups must hold, a
-#: group holds if any of its words occurs.  Checked by tests/test_matching.py.
-NEEDS = {
-    # deadline tiers
-    r"\btoday\b": [["today"]],
-    r"\bby end of day\b": [["by end of day"]],
-    r"\bby eod\b": [["by eod"]],
-    r"\bby close of business\b": [["by close of business"]],
-    r"\bbefore midnight\b": [["before midnight"]],
-    r"\btomorrow\b": [["tomorrow"]],
-    r"\bwithin 24 hours\b": [["within 24 hours"]],
-    r"\bby tomorrow\b": [["by tomorrow"]],
-    r"\bday after tomorrow\b": [["day after tomorrow"]],
-    r"\bwithin 48 hours\b": [["within 48 hours"]],
-    r"\bin 2 days\b": [["in 2 days"]],
-    r"\bthis week\b": [["this week"]],
-    r"\bwithin a week\b": [["within a week"]],
-    r"\bby (monday|tuesday|wednesday|thursday|friday)\b": [
-        ["by monday", "by tuesday", "by wednesday", "by thursday", "by friday"]],
-    r"\bby\s+\w+\s+\d{1,2}": [["by"]],
-    r"\bdue\s+(on|by|before)\b": [["due"]],
-    # action
-    r"\bplease (confirm|reply|respond|call|contact|approve|submit|fill|complete|provide|send)\b": [["please "]],
-    r"\brequires? (your|a) (response|reply|confirmation|approval|action|attention)\b": [["require"]],
-    r"\baction required\b": [["action required"]],
-    r"\brespond by\b": [["respond by"]],
-    r"\bplease (let us|let me) know\b": [["please let "]],
-    r"\byour (confirmation|response|reply|approval) is (required|needed|requested)\b": [["your "], [" is "]],
-    r"\bkindly (confirm|reply|respond|submit)\b": [["kindly "]],
-    r"\b(?:request|requesting|requested)\s+(?:for\s+)?(?:a\s+)?(?:sick\s+)?leave\b": [["request"], ["leave"]],
-    r"\b(?:grant|approve)\s+(?:(?:me|my)\s+)?(?:the\s+)?(?:sick\s+)?leave\b": [["grant", "approve"], ["leave"]],
-    r"\bwaiting for your (response|reply|confirmation)\b": [["waiting for your "]],
-    r"\bverify (your|the) (identity|account|details)\b": [["verify "]],
-    r"\bplease (verify|validate|confirm)\b": [["please "]],
-    r"\bimmediately\b": [["immediately"]],
-    # event
-    r"\b(interview|meeting|appointment|exam|test|presentation|review)\s+(is\s+)?(scheduled|set|confirmed|arranged)\b": [
-        ["scheduled", "set", "confirmed", "arranged"],
-        ["interview", "meeting", "appointment", "exam", "test", "presentation", "review"]],
-    r"\bscheduled\s+(interview|meeting|appointment)\b": [["scheduled"], ["interview", "meeting", "appointment"]],
-    r"\b(at|on)\s+\d{1,2}(:\d{2})?\s*(am|pm)\b": [["am", "pm"], ["at", "on"]],
-    r"\b(interview|meeting|appointment)\b.{0,60}\b(tomorrow|today|am|pm|\d{1,2}:\d{2})\b": [
-        ["interview", "meeting", "appointment"]],
-    r"\b(tomorrow|today)\b.{0,60}\b(interview|meeting|appointment)\b": [
-        ["tomorrow", "today"], ["interview", "meeting", "appointment"]],
-    # security
-    r"\b(unauthorized|suspicious|fraud|unusual)\s+(activity|access|transaction|login)\b": [
-        ["unauthorized", "suspicious", "fraud", "unusual"]],
-    r"\baccount\s+(blocked|suspended|locked|compromised)\b": [
-        ["account"], ["blocked", "suspended", "locked", "compromised"]],
-    r"\bsecurity\s+alert\b": [["security"], ["alert"]],
-    r"\bverif(y|ication)\s+(your\s+)?(identity|account)\b": [["verif"], ["identity", "account"]],
-    r"\bunauthorized\s+access\b": [["unauthorized"]],
-    r"\bsuspicious\s+(login|activity)\b": [["suspicious"]],
-    # time-sensitive
-    r"\bexpires?\s+(in|on|by|tonight|today|tomorrow)\b": [["expire"]],
-    r"\bonly\s+\d+\s+(hours?|days?)\s+left\b": [["only"], ["left"]],
-    r"\blast\s+chance\b": [["last"], ["chance"]],
-    r"\blimited\s+time\b": [["limited"], ["time"]],
-    r"\bdon[''t]t\s+miss\b": [["don"], ["miss"]],
-    r"\bfinal\s+(reminder|notice|warning)\b": [["final"]],
-    r"\boverdue\b": [["overdue"]],
-}
-
-
-def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
-
-
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
 
+def holds(seen: Seen, lowered: Column, pattern: str) -> Column:
+    """Does the signal pattern occur in the lower-cased text?"""
+    needed = [seen.any(group) for group in NEEDS[pattern]]
+    return reduce(lambda a, b: a & b, needed) & lowered.rlike(CASE_SENSITIVE + pattern)
 
-def contains_any(text: Column, words: Sequence[str]) -> Column:
-    return any_of(F.contains(text, F.lit(word)) for word in words)
 
+def holds_any(seen: Seen, lowered: Column, patterns: Iterable[str]) -> Column:
+    return reduce(lambda a, b: a | b, [holds(seen, lowered, pattern) for pattern in patterns])
 
-def holds(lowered: Column, pattern: str) -> Column:
-    """Does the signal pattern occur in lower-cased text?"""
-    regex = lowered.rlike(CASE_SENSITIVE + pattern)
-    needs = NEEDS.get(pattern)
-    if not needs:
-        return regex
-    return all_of([contains_any(lowered, group) for group in needs] + [regex])
 
+def loose_match(seen: Seen, text: Column, pattern: str) -> Column:
+    """Match, ignoring case, a pattern built only from literals, ``.``, ``.*`` and ``|``.
 
-def holds_any(lowered: Column, patterns: Iterable[str]) -> Column:
-    return any_of(holds(lowered, pattern) for pattern in patterns)
-
-
-def loose_match(folded: Column, pattern: str) -> Column:
-    """Match a pattern built only from literals, ``.``, ``.*`` and ``|``.
-
-    Each alternative is tested on its own: a pure literal is a substring test;
-    the others first need all their literal pieces somewhere in the text.
+    Each alternative is tested on its own: a pure literal is a word test; the
+    others first need all their literal pieces somewhere in the text.
     """
     tests = []
     for alternative in pattern.split("|"):
-        pieces = [piece for piece in re.split(r"\.\*?", alternative) if piece]
-        present = all_of(F.contains(folded, F.lit(piece)) for piece in pieces)
-        tests.append(present if pieces == [alternative] else present & folded.rlike(CASE_SENSITIVE + alternative))
-    return any_of(tests)
+        pieces = literal_pieces(alternative)
+        present = seen.all(pieces, fold=True)
+        tests.append(present if pieces == [alternative] else present & text.rlike(IGNORE_CASE + alternative))
+    return reduce(lambda a, b: a | b, tests)
 
 
-def fold_case(text: Column) -> Column:
-    """Lower case for ignore-case patterns.
-
-    Case-insensitive matching of ASCII letters also accepts the dotted capital
-    I, the dotless i, the long s and the Kelvin sign; map those to ASCII.
-    """
-    lowered = F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
-    return F.replace(F.replace(lowered, F.lit("ı"), F.lit("i")), F.lit("ſ"), F.lit("s"))
+def phrase_occurs(seen: Seen, lowered: Column, pattern: str) -> Column:
+    """Does a phrase pattern (whole words) occur in the lower-cased text?"""
+    return seen.any(hint_words(pattern)) & lowered.rlike(CASE_SENSITIVE + pattern)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .entities import moment
-from .matching import CASE_SENSITIVE, IGNORE_CASE, holds_any
+from .matching import IGNORE_CASE, holds_any
+from .words import Seen
 
 
 def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
@@ -19,8 +20,8 @@ def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
     return value if default is None else F.coalesce(value, default)
 
 
-def action_detected(lowered: Column) -> Column:
-    return holds_any(lowered, rules.ACTION_PATTERNS)
+def action_detected(seen: Seen, lowered: Column) -> Column:
+    return holds_any(seen, lowered, rules.ACTION_PATTERNS)
 
 
 def from_organization(sender: Column) -> Column:
@@ -42,6 +43,7 @@ def _tiers(condition_points_reasons: list[tuple[Column, int, str]]) -> tuple[Col
 def add_priority(
     df: DataFrame,
     lowered: str,
+    seen: Seen,
     slug: str,
     sender: str,
     as_of: datetime | Column,
@@ -51,7 +53,7 @@ def add_priority(
 ) -> DataFrame:
     """Add factors, reasons, score, level, urgency and the action flag.
 
-    ``lowered`` is the lower-cased raw subject and body.  ``action``,
+    ``lowered`` is the lower-cased raw subject and body, ``seen`` its words.  ``action``,
     ``deadline_text`` and ``deadline_time`` are optional columns with what is
     already known; a null there means "not known" and the text decides.
     """
@@ -63,19 +65,19 @@ def add_priority(
     hours = (F.unix_micros(known_time) - F.unix_micros(moment(as_of))) / F.lit(3_600_000_000)
     tier = F.lit(None).cast("int")
     for number, (patterns, _, _) in reversed(list(enumerate(rules.DEADLINE_TIERS))):
-        tier = F.when(holds_any(text, patterns), number).otherwise(tier)
+        tier = F.when(holds_any(seen, text, patterns), number).otherwise(tier)
 
     # first projection: everything that scans the text, each computed once
     df = df.withColumns({
         "_urgent": F.array_compact(
-            F.array(*[F.when(F.contains(text, F.lit(w)), F.lit(w)) for w in rules.URGENCY_WORDS])
+            F.array(*[F.when(seen.has(w), F.lit(w)) for w in rules.URGENCY_WORDS])
         ),
         "_tier": F.when(known_time.isNull(), tier),
         "_hours": hours,
-        "_detected": F.when(known_action.isNull(), action_detected(text)),
-        "_event": holds_any(text, rules.EVENT_PATTERNS),
-        "_security": holds_any(text, rules.SECURITY_PATTERNS),
-        "_pressing": holds_any(text, rules.TIME_SENSITIVE_PATTERNS),
+        "_detected": F.when(known_action.isNull(), action_detected(seen, text)),
+        "_event": holds_any(seen, text, rules.EVENT_PATTERNS),
+        "_security": holds_any(seen, text, rules.SECURITY_PATTERNS),
+        "_pressing": holds_any(seen, text, rules.TIME_SENSITIVE_PATTERNS),
         "_organization": from_organization(F.col(sender)),
     })
 

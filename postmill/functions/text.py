@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,8 @@ from pyspark.sql.functions import pandas_udf
 # Whitespace as Python's str methods see it: Unicode plus the four separators.
 SPACE = r"[\s\x1c-\x1f]"
 NOT_SPACE = r"[^\s\x1c-\x1f]"
+# the same without space, tab, line feed and carriage return
+RARE_SPACE = "[\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # Entities that are decoded inside the JVM ("&amp;" must be last)
 COMMON_ENTITIES = [
@@ -57,7 +61,8 @@ def decode_entities(text: Column) -> Column:
     common = text
     for entity, char in COMMON_ENTITIES:
         common = F.replace(common, F.lit(entity), F.lit(char))
-    return F.coalesce(_unescape(F.when(has_rare_entity(text), text)), common)
+    decoded = _unescape(F.when(has_rare_entity(text), text))
+    return F.when(F.contains(text, F.lit("&")), F.coalesce(decoded, common)).otherwise(text)
 
 
 def nfkc(text: Column) -> Column:
@@ -70,10 +75,6 @@ def strip_accents(text: Column) -> Column:
     return F.coalesce(_without_accents(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
 
 
-def collapse_space(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
-
-
 def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]+>", " ")
 
@@ -87,35 +88,69 @@ def cut_signature(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\n[-_]{2,}.*", "")
 
 
-def has_quoted_header(text: Column) -> Column:
-    return F.contains(text, F.lit("wrote:")) | (
-        F.contains(text, F.lit("\nSent:")) & F.contains(text, F.lit("\nTo:"))
-    )
-
-
 def cut_quoted_header(text: Column) -> Column:
     """Drop quoted-reply and forwarded-mail headers, greedily."""
     return F.regexp_replace(text, r"(?s)(On .+wrote:|From:.+\nSent:.+\nTo:.+)", "")
 
 
+def plain_breaks(text: Column) -> Column:
+    """Line breaks and tabs as spaces."""
+    for char in "\n\r\t":
+        text = F.replace(text, F.lit(char), F.lit(" "))
+    return text
+
+
+def collapse_space(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, f"(?U){SPACE}+", " "))
+
+
+def _has(text: Column, *literals: str) -> Column:
+    tests = [F.contains(text, F.lit(literal)) for literal in literals]
+    return reduce(lambda a, b: a | b, tests)
+
+
+def _each(df: DataFrame, columns: Iterable[str], needed, change) -> DataFrame:
+    """Change the texts that need it, as a projection of its own.
+
+    The test is a byte scan; most texts then skip the regular expression.
+    """
+    return df.withColumns({
+        name: F.when(needed(F.col(name)), change(F.col(name))).otherwise(F.col(name)) for name in columns
+    })
+
+
+def _without_markup(df: DataFrame, columns: Iterable[str], url: str) -> DataFrame:
+    df = _each(df, columns, lambda t: _has(t, "<"), strip_tags)
+    return _each(df, columns, lambda t: _has(t, "://", "www."), lambda t: replace_urls(t, url))
+
+
+def _collapsed(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    df = df.withColumns({name: plain_breaks(F.col(name)) for name in columns})
+    df = _each(df, columns, lambda t: _has(t, "  ") | t.rlike(RARE_SPACE), collapse_space)
+    return df.withColumns({name: F.trim(name) for name in columns})
+
+
 def add_clean_text(df: DataFrame, columns: dict[str, str], decoded: bool = False) -> DataFrame:
     """Add cleaned, lower-case copies of text columns (``{input: output}``).
 
-    ``decoded`` says the inputs have their HTML entities decoded already.  The
-    steps are separate projections so that a value used twice is computed once.
+    ``decoded`` says the inputs have their HTML entities decoded already.
     """
-    pending = {out: F.coalesce(F.col(name), F.lit("")) for name, out in columns.items()}
+    outs = list(columns.values())
+    df = df.withColumns({out: F.coalesce(F.col(name), F.lit("")) for name, out in columns.items()})
     if not decoded:
-        df = df.withColumns(pending)
-        pending = {out: decode_entities(F.col(out)) for out in pending}
-    df = df.withColumns(
-        {out: cut_signature(replace_urls(strip_tags(text), " URL ")) for out, text in pending.items()}
-    )
-    df = df.withColumns({
-        out: F.when(has_quoted_header(F.col(out)), cut_quoted_header(F.col(out))).otherwise(F.col(out))
-        for out in pending
-    })
-    return df.withColumns({out: F.lower(collapse_space(F.col(out))) for out in pending})
+        df = df.withColumns({out: decode_entities(F.col(out)) for out in outs})
+    df = _without_markup(df, outs, " URL ")
+    df = _each(df, outs, lambda t: _has(t, "\n-", "\n_"), cut_signature)
+    quoted = lambda t: _has(t, "wrote:") | (_has(t, "\nSent:") & _has(t, "\nTo:"))
+    df = _each(df, outs, quoted, cut_quoted_header)
+    df = _collapsed(df, outs)
+    return df.withColumns({out: F.lower(out) for out in outs})
+
+
+def add_entity_text(df: DataFrame, decoded: str, out: str) -> DataFrame:
+    """Lighter cleaning that keeps case and signature, for entity extraction."""
+    df = df.withColumn(out, F.col(decoded))
+    return _collapsed(_without_markup(df, [out], ""), [out])
 
 
 def classification_text(subject_clean: Column, body_clean: Column) -> Column:
@@ -123,11 +158,6 @@ def classification_text(subject_clean: Column, body_clean: Column) -> Column:
     return F.trim(F.concat(subject_clean, F.lit(" "), subject_clean, F.lit(" "), body_clean))
 
 
-def entity_text(decoded: Column) -> Column:
-    """Lighter cleaning that keeps case and signature, for entity extraction."""
-    return collapse_space(replace_urls(strip_tags(decoded), ""))
-
-
 def add_training_text(df: DataFrame, column: str, out: str) -> DataFrame:
     """Normalized text for training: decode, NFKC, tags to spaces, collapse, lower."""
     df = df.withColumn(out, F.coalesce(F.col(column), F.lit("")))
@@ -142,7 +172,10 @@ def word_tokens(text: Column) -> Column:
 
 
 def with_bigrams(tokens: Column) -> Column:
-    """Single words followed by pairs of neighbours."""
+    """Single words followed by pairs of neighbours.
+
+    Pass a materialized column: it is read once per word.
+    """
     pairs = F.transform(
         F.slice(tokens, F.lit(2), F.size(tokens)),
         lambda word, i: F.concat_ws(" ", F.get(tokens, i), word),

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..functions.entities import add_entities, add_relative_deadline, entity_deadline
+from ..functions.entities import add_entities, add_relative_deadline, entity_deadline, moment
 from ..functions.intent import intent
-from ..functions.matching import fold_case
 from ..functions.priority import action_detected, add_priority
+from ..functions.words import Seen, add_seen
 from .classify import add_keyword_category
 from .sentiment import score_sentiment
 
@@ -25,42 +25,42 @@ def clean_corpus(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return text.add_clean_text(df, columns)
 
 
+def _decoded(emails: DataFrame) -> DataFrame:
+    """Add ``_subject`` and ``_body`` without nulls and HTML entities, and both as ``_both``."""
+    df = emails.withColumns({"_subject": F.coalesce("subject", F.lit("")), "_body": F.coalesce("body", F.lit(""))})
+    df = df.withColumns({name: text.decode_entities(F.col(name)) for name in ("_subject", "_body")})
+    return df.withColumn("_both", F.concat("_subject", F.lit("\n\n"), "_body"))
+
+
+def add_entity_text(emails: DataFrame) -> DataFrame:
+    """Add ``entity_text``."""
+    return text.add_entity_text(_decoded(emails), "_both", "entity_text").drop("_subject", "_body", "_both")
+
+
 def add_text_variants(emails: DataFrame) -> DataFrame:
     """Add ``body_clean``, ``classification_text`` and ``entity_text``."""
-    df = emails.withColumns({
-        "_subject": F.coalesce("subject", F.lit("")),
-        "_body": F.coalesce("body", F.lit("")),
-    })
-    df = df.withColumns({"_subject": text.decode_entities(F.col("_subject")), "_body": text.decode_entities(F.col("_body"))})
-    df = df.withColumn("entity_text", text.entity_text(F.concat("_subject", F.lit("\n\n"), "_body")))
+    df = text.add_entity_text(_decoded(emails), "_both", "entity_text")
     df = text.add_clean_text(df, {"_subject": "_subject_clean", "_body": "body_clean"}, decoded=True)
     return df.withColumn(
         "classification_text", text.classification_text(F.col("_subject_clean"), F.col("body_clean"))
-    ).drop("_subject", "_body", "_subject_clean")
-
-
-def add_entity_text(emails: DataFrame) -> DataFrame:
-    """Add ``entity_text`` alone."""
-    df = emails.withColumns({
-        "_subject": F.coalesce("subject", F.lit("")),
-        "_body": F.coalesce("body", F.lit("")),
-    })
-    df = df.withColumn(
-        "_both",
-        F.concat(text.decode_entities(F.col("_subject")), F.lit("\n\n"), text.decode_entities(F.col("_body"))),
-    )
-    return df.withColumn("entity_text", text.entity_text(F.col("_both"))).drop("_subject", "_body", "_both")
+    ).drop("_subject", "_body", "_both", "_subject_clean")
 
 
 def extract_entities(emails: DataFrame, positions: bool = True) -> DataFrame:
     """One row per entity of each email, numbered in extraction order."""
-    df = add_entities(add_entity_text(emails).select("email_id", "entity_text"), "entity_text", positions=positions)
-    return entity_rows(df)
+    df = add_entity_text(emails).select("email_id", "entity_text")
+    df = add_seen(df, {"entity_text": "_words"})
+    return entity_rows(add_entities(df, "entity_text", Seen("_words"), positions=positions))
 
 
 def entity_rows(df: DataFrame) -> DataFrame:
-    """Explode an ``entities`` array into rows."""
-    return df.select("email_id", F.posexplode("entities").alias("entity_no", "e")).select(
+    """Explode an ``entities`` array into rows.
+
+    The outer form is deliberate: for the inner one the optimizer adds a filter
+    on the array's size and pushes it, extraction included, down to the scan,
+    so that every text would be searched twice.
+    """
+    return df.select("email_id", F.posexplode_outer("entities").alias("entity_no", "e")).filter("e is not null").select(
         "email_id", "entity_no", "e.entity_type", "e.entity_text", "e.confidence", "e.char_position"
     )
 
@@ -79,14 +79,14 @@ def distinct_entities(entities: DataFrame) -> DataFrame:
 
 def add_deadline(emails: DataFrame, as_of: datetime | Column) -> DataFrame:
     """Add ``deadline_text`` and ``deadline_datetime`` of the relative deadline."""
-    return add_relative_deadline(add_entity_text(emails), "entity_text", as_of)
+    df = add_seen(add_entity_text(emails), {"entity_text": "_words"})
+    return add_relative_deadline(df, "entity_text", Seen("_words"), as_of).drop("_words")
 
 
 def add_intent(emails: DataFrame, slug: str = "slug") -> DataFrame:
     """Add the intent of each email."""
-    return emails.withColumn("_folded", fold_case(_raw())).withColumn(
-        "intent", intent(F.col("_folded"), F.col(slug))
-    ).drop("_folded")
+    df = add_seen(emails.withColumn("_raw", _raw()), {"_raw": "_words"})
+    return df.withColumn("intent", intent(Seen("_words"), F.col("_raw"), F.col(slug))).drop("_raw", "_words")
 
 
 def score_priority(
@@ -98,10 +98,10 @@ def score_priority(
     deadline_time: str | None = None,
 ) -> DataFrame:
     """Add priority score, level, urgency, action flag, reasons and factors."""
-    df = emails.withColumn("_lowered", F.lower(_raw()))
+    df = add_seen(emails.withColumn("_lowered", F.lower(_raw())), {"_lowered": "_words"})
     return add_priority(
-        df, "_lowered", slug, "sender_email", as_of, action, deadline_text, deadline_time
-    ).drop("_lowered")
+        df, "_lowered", Seen("_words"), slug, "sender_email", as_of, action, deadline_text, deadline_time
+    ).drop("_lowered", "_words")
 
 
 def key_points(entities: Column) -> Column:
@@ -139,25 +139,26 @@ def enrich_rows(
         df = emails.withColumns({"sentiment": F.lit("neutral"), "sentiment_score": F.lit(0.0)})
     else:
         df = score_sentiment(emails, lexicon, "email_id", "body", sentiment_chars)
-    df = add_text_variants(df)
-    df = add_entities(df, "entity_text")
-    df = add_relative_deadline(df, "entity_text", as_of, "_relative", "deadline_datetime")
+    df = add_text_variants(df).withColumn("_raw", _raw())
+    df = add_seen(df, {"_raw": "_w", "classification_text": "_w_class", "entity_text": "_w_entity"})
+    raw, of_class, of_entity = Seen("_w"), Seen("_w_class"), Seen("_w_entity")
+    df = add_entities(df, "entity_text", of_entity)
+    df = add_relative_deadline(df, "entity_text", of_entity, as_of, "_relative", "deadline_datetime")
     df = df.withColumns({
         "deadline_text": F.coalesce("_relative", entity_deadline(F.col("entities"))),
-        "_lowered": F.lower(_raw()),
-        "_folded": fold_case(_raw()),
+        "_lowered": F.lower("_raw"),
     })
-    df = (classify or add_keyword_category)(df)
+    df = add_keyword_category(df, seen=of_class) if classify is None else classify(df)
     df = df.withColumns({
-        "intent": intent(F.col("_folded"), F.col("slug")),
-        "_wanted": action_detected(F.col("_lowered")),
+        "intent": intent(raw, F.col("_raw"), F.col("slug")),
+        "_wanted": action_detected(raw, F.col("_lowered")),
     })
-    df = add_priority(df, "_lowered", "slug", "sender_email", as_of, "_wanted", "deadline_text", "deadline_datetime")
+    df = add_priority(df, "_lowered", raw, "slug", "sender_email", as_of, "_wanted", "deadline_text", "deadline_datetime")
     df = df.withColumns({
         "key_points": key_points(F.col("entities")),
-        "analyzed_at": F.lit(as_of).cast("timestamp"),
+        "analyzed_at": moment(as_of),
     })
-    return df.drop("_relative", "_lowered", "_folded", "_wanted")
+    return df.drop("_relative", "_raw", "_lowered", "_wanted", "_w", "_w_class", "_w_entity")
 
 
 ANALYSIS_COLUMNS = [

@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import rules
 from ..functions.entities import moment
 from ..schemas import CATEGORIES, LABELLED_TEXT, PUBLIC_TEXT, SEED_EMAILS
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
+    """A few fixed rows as a local relation, whose size the optimizer knows."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = fields.fieldNames()
+    columns = [dict(zip(names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(columns, schema=to_arrow_schema(fields)))
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -53,7 +64,7 @@ def read_seed_emails(spark: SparkSession, path: str, as_of: datetime | Column) -
 
 def categories(spark: SparkSession) -> DataFrame:
     """The category dimension: 14 fixed rows."""
-    return spark.createDataFrame(rules.CATEGORIES, CATEGORIES)
+    return small_table(spark, rules.CATEGORIES, CATEGORIES)
 
 
 def load_model(path: str) -> PipelineModel | None:
