@@ -70,7 +70,7 @@ def add_priority(
     # first projection: everything that scans the text, each computed once
     df = df.withColumns({
         "_urgent": F.array_compact(
-            F.array(*[F.when(seen.has(w), F.lit(w)) for w in rules.URGENCY_WORDS])
+            F.array(*[F.when(seen.any([w]), F.lit(w)) for w in rules.URGENCY_WORDS])
         ),
         "_tier": F.when(known_time.isNull(), tier),
         "_hours": hours,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,12 +100,14 @@ def hint_words(pattern: str) -> list[str]:
 
 
 def _collect() -> list[str]:
-    words = {w for group in rules.CATEGORY_KEYWORDS.values() for w in group}
-    words |= {w for pattern, _, _ in rules.CATEGORY_HINTS for w in hint_words(pattern)}
-    words |= {w for pattern in rules.STRONG_PHRASES.values() for w in hint_words(pattern)}
-    words |= {piece for pattern, _, _ in rules.INTENTS for alt in pattern.split("|") for piece in literal_pieces(alt)}
-    words |= {w for groups in NEEDS.values() for group in groups for w in group}
-    return sorted(words | set(rules.URGENCY_WORDS) | set(ENTITY_WORDS) | set(DEADLINE_WORDS))
+    """All words, those tested together next to each other."""
+    groups = list(rules.CATEGORY_KEYWORDS.values())
+    groups += [hint_words(pattern) for pattern, _, _ in rules.CATEGORY_HINTS]
+    groups += [hint_words(pattern) for pattern in rules.STRONG_PHRASES.values()]
+    groups += [rules.URGENCY_WORDS, ENTITY_WORDS, DEADLINE_WORDS]
+    groups += [literal_pieces(alt) for pattern, _, _ in rules.INTENTS for alt in pattern.split("|")]
+    groups += [group for needed in NEEDS.values() for group in needed]
+    return list(dict.fromkeys(word for group in groups for word in group))
 
 
 WORDS = _collect()
@@ -172,30 +175,46 @@ class Seen:
     def __init__(self, column: str):
         self.column = column
 
-    def has(self, word: str, fold: bool = False) -> Column:
-        """Is the word in the lower-cased (or case-folded) text?"""
-        field, bit = divmod(_NUMBER[word], BITS)
-        mask = F.col(f"{self.column}.{'fold' if fold else 'lower'}{field}")
-        return mask.bitwiseAND(F.lit(1 << bit)) != 0
+    def _masks(self, words: Iterable[str], fold: bool) -> list[tuple[Column, int]]:
+        """The words as bits, per mask column that holds any of them."""
+        bits: dict[int, int] = {}
+        for word in words:
+            field, bit = divmod(_NUMBER[word], BITS)
+            bits[field] = bits.get(field, 0) | 1 << bit
+        kind = "fold" if fold else "lower"
+        return [(F.col(f"{self.column}_{kind}{field}"), mask) for field, mask in bits.items()]
 
     def any(self, words: Iterable[str], fold: bool = False) -> Column:
-        result = None
-        for word in words:
-            test = self.has(word, fold)
-            result = test if result is None else result | test
-        return result
+        """Does one of the words occur in the lower-cased (or case-folded) text?"""
+        tests = [column.bitwiseAND(F.lit(mask)) != 0 for column, mask in self._masks(words, fold)]
+        return reduce(lambda a, b: a | b, tests)
 
     def all(self, words: Iterable[str], fold: bool = False) -> Column:
-        result = None
-        for word in words:
-            test = self.has(word, fold)
-            result = test if result is None else result & test
-        return result
+        """Do all of the words occur?"""
+        tests = [column.bitwiseAND(F.lit(mask)) == mask for column, mask in self._masks(words, fold)]
+        return reduce(lambda a, b: a & b, tests)
+
+    def count(self, words: Iterable[str], fold: bool = False) -> Column:
+        """How many of the words occur?"""
+        counts = [F.bit_count(column.bitwiseAND(F.lit(mask))) for column, mask in self._masks(words, fold)]
+        return reduce(lambda a, b: a + b, counts)
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"{self.column}_{kind}{field}" for kind in ("lower", "fold") for field in range(FIELDS)]
 
 
 def add_seen(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Scan text columns for the words: ``{text column: mask column}``.
+    """Scan text columns for the words: ``{text column: name for Seen}``.
 
     All texts of a row cross to Python together, once.
     """
-    return df.withColumns({mask: _masks(F.col(text)) for text, mask in columns.items()})
+    df = df.withColumns({name: _masks(F.col(text)) for text, name in columns.items()})
+    return df.withColumns({
+        column: F.coalesce(F.col(f"{name}.{column.removeprefix(name + '_')}"), F.lit(0))
+        for name in columns.values() for column in Seen(name).columns
+    }).drop(*columns.values())
+
+
+def drop_seen(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*[column for name in names for column in Seen(name).columns])

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..functions.entities import add_entities, add_relative_deadline, entity_deadline, moment
-from ..functions.intent import intent
+from ..functions import intent as intents
 from ..functions.priority import action_detected, add_priority
-from ..functions.words import Seen, add_seen
+from ..functions.words import Seen, add_seen, drop_seen
 from .classify import add_keyword_category
 from .sentiment import score_sentiment
 
@@ -80,13 +80,13 @@ def distinct_entities(entities: DataFrame) -> DataFrame:
 def add_deadline(emails: DataFrame, as_of: datetime | Column) -> DataFrame:
     """Add ``deadline_text`` and ``deadline_datetime`` of the relative deadline."""
     df = add_seen(add_entity_text(emails), {"entity_text": "_words"})
-    return add_relative_deadline(df, "entity_text", Seen("_words"), as_of).drop("_words")
+    return drop_seen(add_relative_deadline(df, "entity_text", Seen("_words"), as_of), "_words")
 
 
 def add_intent(emails: DataFrame, slug: str = "slug") -> DataFrame:
     """Add the intent of each email."""
     df = add_seen(emails.withColumn("_raw", _raw()), {"_raw": "_words"})
-    return df.withColumn("intent", intent(Seen("_words"), F.col("_raw"), F.col(slug))).drop("_raw", "_words")
+    return drop_seen(intents.add_intent(df, "_raw", Seen("_words"), slug), "_words").drop("_raw")
 
 
 def score_priority(
@@ -99,9 +99,10 @@ def score_priority(
 ) -> DataFrame:
     """Add priority score, level, urgency, action flag, reasons and factors."""
     df = add_seen(emails.withColumn("_lowered", F.lower(_raw())), {"_lowered": "_words"})
-    return add_priority(
+    df = add_priority(
         df, "_lowered", Seen("_words"), slug, "sender_email", as_of, action, deadline_text, deadline_time
-    ).drop("_lowered", "_words")
+    )
+    return drop_seen(df, "_words").drop("_lowered")
 
 
 def key_points(entities: Column) -> Column:
@@ -149,16 +150,14 @@ def enrich_rows(
         "_lowered": F.lower("_raw"),
     })
     df = add_keyword_category(df, seen=of_class) if classify is None else classify(df)
-    df = df.withColumns({
-        "intent": intent(raw, F.col("_raw"), F.col("slug")),
-        "_wanted": action_detected(raw, F.col("_lowered")),
-    })
+    df = intents.add_intent(df, "_raw", raw, "slug")
+    df = df.withColumn("_wanted", action_detected(raw, F.col("_lowered")))
     df = add_priority(df, "_lowered", raw, "slug", "sender_email", as_of, "_wanted", "deadline_text", "deadline_datetime")
     df = df.withColumns({
         "key_points": key_points(F.col("entities")),
         "analyzed_at": moment(as_of),
     })
-    return df.drop("_relative", "_raw", "_lowered", "_wanted", "_w", "_w_class", "_w_entity")
+    return drop_seen(df, "_w", "_w_class", "_w_entity").drop("_relative", "_raw", "_lowered", "_wanted")
 
 
 ANALYSIS_COLUMNS = [
