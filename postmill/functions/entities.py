@@ -9,58 +9,44 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .matching import IGNORE_CASE
+from .sql import literal, text_literal
 from .words import MONTHS, Seen
 
+#: What a match of each entity pattern starts with.  Tested before the word
+#: boundary, which costs far more per character.
+STARTS = ["[ty]", "[mtwfs]", r"\d", "[jfmasond]", r"\d", r"\d", None, None, None]
+
 ENTITY = "struct<entity_type:string,entity_text:string,confidence:double,char_position:int>"
 
 
-def _may_match(seen: Seen, has_digit: Column) -> list[Column]:
+def _may_match(seen: Seen, has_digit: str) -> list[str]:
     """For each entity pattern, a cheap test it cannot match without."""
     has = lambda *words: seen.any(words, fold=True)
-    money = lambda sign: (has_digit & has(sign)) | has(sign + ",")
+    digit_and = lambda *words: f"({has_digit} AND {has(*words)})"
+    money = lambda sign: f"({digit_and(sign)} OR {has(sign + ',')})"
     return [
         has("today", "tomorrow", "yesterday"),
         has("day"),
-        has_digit & has("/", "-"),
-        has_digit & has(*MONTHS),
-        has_digit & has(":"),
-        has_digit & has("am", "pm"),
+        digit_and("/", "-"),
+        digit_and(*MONTHS),
+        digit_and(":"),
+        digit_and("am", "pm"),
         money("$"), money("₹"), money("£"),
     ]
 
 
-def _positions(text: Column, pattern: str, matches: Column) -> Column:
-    """Start offsets of all matches: running lengths of the text between them."""
-    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
-    widths = F.transform(matches, F.char_length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-    def step(state: Column, pair: Column) -> Column:
-        here = state["at"] + pair["gap"]
-        return F.struct(
-            (here + F.coalesce(pair["width"], F.lit(0))).alias("at"),
-            F.concat(state["starts"], F.array(here)).alias("starts"),
-        )
-
-    pairs = F.zip_with(gaps, widths, lambda g, w: F.struct(g.alias("gap"), w.alias("width")))
-    # there is one more gap than matches; the last "start" is the end of the text
-    return F.aggregate(pairs, start, step, lambda state: F.slice(state["starts"], F.lit(1), F.size(matches)))
-
-
-def _as_entities(text: Column, matches: Column, rule: tuple[str, str, float], positions: bool) -> Column:
-    kind, pattern, confidence = rule
-    unknown = F.transform(matches, lambda _: F.lit(None).cast("int"))
-    starts = _positions(text, IGNORE_CASE + pattern, matches) if positions else unknown
-
-    def entity(match: Column, start: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("entity_type"),
-            match.alias("entity_text"),
-            F.lit(confidence).alias("confidence"),
-            start.alias("char_position"),
-        )
+def _positions(text: str, pattern: str, matches: str) -> str:
+    """Start offsets of all matches: running lengths of the text between them.
 
-    return F.zip_with(matches, starts, entity)
+    There is one more gap than matches; the last "start" is the end of the text.
+    """
+    gaps = f"transform(split({text}, {text_literal(pattern)}, -1), g -> char_length(g))"
+    pairs = f"zip_with({gaps}, {matches}, (g, m) -> struct(g AS gap, coalesce(char_length(m), 0) AS width))"
+    return (
+        f"aggregate({pairs}, struct(0 AS at, cast(array() AS array<int>) AS starts), "
+        "(s, p) -> struct(s.at + p.gap + p.width AS at, concat(s.starts, array(s.at + p.gap)) AS starts), "
+        f"s -> slice(s.starts, 1, size({matches})))"
+    )
 
 
 def add_entities(df: DataFrame, text: str, seen: Seen, out: str = "entities", positions: bool = True) -> DataFrame:
@@ -68,21 +54,28 @@ def add_entities(df: DataFrame, text: str, seen: Seen, out: str = "entities", po
 
     The list is as long as the text allows and stays in the row.
     """
-    found = [f"_m{i}" for i in range(len(rules.ENTITY_PATTERNS))]
+    numbered = [
+        (f"_m{i}", kind, IGNORE_CASE + (f"(?={start})" if start else "") + pattern, confidence)
+        for i, (start, (kind, pattern, confidence)) in enumerate(zip(STARTS, rules.ENTITY_PATTERNS))
+    ]
     df = df.withColumn("_digit", F.coalesce(F.col(text).rlike(r"\p{Nd}"), F.lit(False)))
-    none = F.array().cast("array<string>")
-    guards = _may_match(seen, F.col("_digit"))
+    guards = _may_match(seen, "_digit")
     df = df.withColumns({
-        name: F.when(guard, F.regexp_extract_all(F.col(text), F.lit(IGNORE_CASE + pattern), F.lit(0))).otherwise(none)
-        for name, guard, (_, pattern, _) in zip(found, guards, rules.ENTITY_PATTERNS)
+        name: F.expr(
+            f"CASE WHEN {guard} THEN regexp_extract_all({text}, {text_literal(pattern)}, 0) "
+            "ELSE cast(array() AS array<string>) END"
+        )
+        for guard, (name, _, pattern, _) in zip(guards, numbered)
     })
-    parts = [
-        F.when(F.size(name) > 0, _as_entities(F.col(text), F.col(name), rule, positions)).otherwise(
-            F.array().cast(f"array<{ENTITY}>")
+    parts = []
+    for name, kind, pattern, confidence in numbered:
+        starts = _positions(text, pattern, name) if positions else f"transform({name}, m -> cast(NULL AS int))"
+        listed = (
+            f"zip_with({name}, {starts}, (m, at) -> struct({text_literal(kind)} AS entity_type, m AS entity_text, "
+            f"{literal(confidence)} AS confidence, at AS char_position))"
         )
-        for name, rule in zip(found, rules.ENTITY_PATTERNS)
-    ]
-    return df.withColumn(out, F.concat(*parts)).drop("_digit", *found)
+        parts.append(f"CASE WHEN size({name}) > 0 THEN {listed} ELSE cast(array() AS array<{ENTITY}>) END")
+    return df.withColumn(out, F.expr(f"concat({', '.join(parts)})")).drop("_digit", *[name for name, *_ in numbered])
 
 
 def entity_deadline(entities: Column) -> Column:
@@ -116,7 +109,7 @@ def add_relative_deadline(
             match = F.when(guard, match)
         return match
 
-    has = lambda *words: seen.any(words, fold=True)
+    has = lambda *words: F.expr(seen.any(words, fold=True))
     df = df.withColumns({
         "_two_days": found(rules.DEADLINE_TWO_DAYS, has("day"), has("2", "two")),
         "_48_hours": found(rules.DEADLINE_48_HOURS, has("within"), has("48")),

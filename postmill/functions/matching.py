@@ -1,13 +1,10 @@
-"""Rules as columns: word tests first, regular expressions only where they pass."""
+"""Rules as SQL tests: words first, regular expressions only where they pass."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+from .sql import all_of, any_of, text_literal
 from .words import NEEDS, Seen, hint_words, literal_pieces
 
 #: Java flags that give Python's meaning to the shared patterns: Unicode
@@ -16,17 +13,20 @@ CASE_SENSITIVE = "(?Ud)"
 IGNORE_CASE = "(?iuUd)"
 
 
-def holds(seen: Seen, lowered: Column, pattern: str) -> Column:
-    """Does the signal pattern occur in the lower-cased text?"""
-    needed = [seen.any(group) for group in NEEDS[pattern]]
-    return reduce(lambda a, b: a & b, needed) & lowered.rlike(CASE_SENSITIVE + pattern)
+def found(column: str, regex: str) -> str:
+    return f"rlike({column}, {text_literal(regex)})"
+
+
+def holds(seen: Seen, lowered: str, pattern: str) -> str:
+    """Does the signal pattern occur in the lower-cased text column?"""
+    return all_of([*(seen.any(group) for group in NEEDS[pattern]), found(lowered, CASE_SENSITIVE + pattern)])
 
 
-def holds_any(seen: Seen, lowered: Column, patterns: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [holds(seen, lowered, pattern) for pattern in patterns])
+def holds_any(seen: Seen, lowered: str, patterns: Iterable[str]) -> str:
+    return any_of(holds(seen, lowered, pattern) for pattern in patterns)
 
 
-def loose_match(seen: Seen, text: Column, pattern: str) -> Column:
+def loose_match(seen: Seen, text: str, pattern: str) -> str:
     """Match, ignoring case, a pattern built only from literals, ``.``, ``.*`` and ``|``.
 
     Each alternative is tested on its own: a pure literal is a word test; the
@@ -36,10 +36,11 @@ def loose_match(seen: Seen, text: Column, pattern: str) -> Column:
     for alternative in pattern.split("|"):
         pieces = literal_pieces(alternative)
         present = seen.all(pieces, fold=True)
-        tests.append(present if pieces == [alternative] else present & text.rlike(IGNORE_CASE + alternative))
-    return reduce(lambda a, b: a | b, tests)
+        whole = pieces == [alternative]
+        tests.append(present if whole else all_of([present, found(text, IGNORE_CASE + alternative)]))
+    return any_of(tests)
 
 
-def phrase_occurs(seen: Seen, lowered: Column, pattern: str) -> Column:
-    """Does a phrase pattern (whole words) occur in the lower-cased text?"""
-    return seen.any(hint_words(pattern)) & lowered.rlike(CASE_SENSITIVE + pattern)
+def phrase_occurs(seen: Seen, lowered: str, pattern: str) -> str:
+    """Does a phrase pattern (whole words) occur in the lower-cased text column?"""
+    return all_of([seen.any(hint_words(pattern)), found(lowered, CASE_SENSITIVE + pattern)])

@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from . import rules
 from .entities import moment
 from .matching import IGNORE_CASE, holds_any
+from .sql import first_of, map_of, text_literal
 from .words import Seen
 
 
 def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
     """Value of a small literal table, or the default."""
-    pairs = [part for k, v in table.items() for part in (F.lit(k), F.lit(v))]
-    value = F.try_element_at(F.create_map(*pairs), key)
+    value = F.try_element_at(F.expr(map_of(table)), key)
     return value if default is None else F.coalesce(value, default)
 
 
-def action_detected(seen: Seen, lowered: Column) -> Column:
-    return holds_any(seen, lowered, rules.ACTION_PATTERNS)
+def action_detected(seen: Seen, lowered: str) -> Column:
+    return F.expr(holds_any(seen, lowered, rules.ACTION_PATTERNS))
 
 
 def from_organization(sender: Column) -> Column:
@@ -57,27 +57,27 @@ def add_priority(
     ``deadline_text`` and ``deadline_time`` are optional columns with what is
     already known; a null there means "not known" and the text decides.
     """
-    text = F.col(lowered)
     known_action = F.col(action) if action else F.lit(None).cast("boolean")
     known_text = F.col(deadline_text) if deadline_text else F.lit(None).cast("string")
     known_time = F.col(deadline_time) if deadline_time else F.lit(None).cast("timestamp")
 
     hours = (F.unix_micros(known_time) - F.unix_micros(moment(as_of))) / F.lit(3_600_000_000)
-    tier = F.lit(None).cast("int")
-    for number, (patterns, _, _) in reversed(list(enumerate(rules.DEADLINE_TIERS))):
-        tier = F.when(holds_any(seen, text, patterns), number).otherwise(tier)
+    tiers = first_of(
+        (holds_any(seen, lowered, patterns), str(number))
+        for number, (patterns, _, _) in enumerate(rules.DEADLINE_TIERS)
+    )
+    urgent = ", ".join(f"CASE WHEN {seen.any([w])} THEN {text_literal(w)} END" for w in rules.URGENCY_WORDS)
+    flagged = lambda patterns: F.expr(holds_any(seen, lowered, patterns))
 
     # first projection: everything that scans the text, each computed once
     df = df.withColumns({
-        "_urgent": F.array_compact(
-            F.array(*[F.when(seen.any([w]), F.lit(w)) for w in rules.URGENCY_WORDS])
-        ),
-        "_tier": F.when(known_time.isNull(), tier),
+        "_urgent": F.expr(f"array_compact(array({urgent}))"),
+        "_tier": F.when(known_time.isNull(), F.expr(tiers)),
         "_hours": hours,
-        "_detected": F.when(known_action.isNull(), action_detected(seen, text)),
-        "_event": holds_any(seen, text, rules.EVENT_PATTERNS),
-        "_security": holds_any(seen, text, rules.SECURITY_PATTERNS),
-        "_pressing": holds_any(seen, text, rules.TIME_SENSITIVE_PATTERNS),
+        "_detected": F.when(known_action.isNull(), action_detected(seen, lowered)),
+        "_event": flagged(rules.EVENT_PATTERNS),
+        "_security": flagged(rules.SECURITY_PATTERNS),
+        "_pressing": flagged(rules.TIME_SENSITIVE_PATTERNS),
         "_organization": from_organization(F.col(sender)),
     })
 

@@ -11,12 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Whitespace as Python's str methods see it: Unicode plus the four separators.
 SPACE = r"[\s\x1c-\x1f]"
 NOT_SPACE = r"[^\s\x1c-\x1f]"
-# the same without space, tab, line feed and carriage return
-RARE_SPACE = "[\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# the same without space, tab, line feed and carriage return ...
+RARE_SPACES = "\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u205f\u3000"
+# ... and the remaining ones, which all start with these two bytes in UTF-8
+GENERAL_PUNCTUATION = "X'E280'"
 
 # Entities that are decoded inside the JVM ("&amp;" must be last)
 COMMON_ENTITIES = [
@@ -30,22 +33,33 @@ RARE_ENTITY = (
 )
 
 
-@pandas_udf("string")
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def _text_function(change):
+    """An Arrow function over strings, sent to the workers as it is.
+
+    Declared nondeterministic so that it is evaluated once: the optimizer takes
+    Python functions for free and would copy the call, with all that computes
+    its argument, into every expression that reads the result.
+    """
+
+    def each(texts: pd.Series) -> pd.Series:
+        return texts.map(change, na_action="ignore")
+
+    return pandas_udf(each, StringType()).asNondeterministic()
+
+
+def _unescape(text: Column) -> Column:
+    return _text_function(html.unescape)(text)
 
 
-@pandas_udf("string")
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+def _nfkc(text: Column) -> Column:
+    return _text_function(lambda t: unicodedata.normalize("NFKC", t))(text)
 
 
-@pandas_udf("string")
-def _without_accents(texts: pd.Series) -> pd.Series:
-    def strip(text: str) -> str:
-        return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+def _without_accents(text: Column) -> Column:
+    def strip(t: str) -> str:
+        return "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
 
-    return texts.map(strip, na_action="ignore")
+    return _text_function(strip)(text)
 
 
 def has_rare_entity(text: Column) -> Column:
@@ -126,7 +140,9 @@ def _without_markup(df: DataFrame, columns: Iterable[str], url: str) -> DataFram
 
 def _collapsed(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     df = df.withColumns({name: plain_breaks(F.col(name)) for name in columns})
-    df = _each(df, columns, lambda t: _has(t, "  ") | t.rlike(RARE_SPACE), collapse_space)
+    # byte scans: a character class of this many ranges is far slower
+    other = lambda t: F.contains(t.cast("binary"), F.expr(GENERAL_PUNCTUATION))
+    df = _each(df, columns, lambda t: _has(t, "  ", *RARE_SPACES) | other(t), collapse_space)
     return df.withColumns({name: F.trim(name) for name in columns})
 
 

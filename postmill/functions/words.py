@@ -10,15 +10,16 @@ tests in generated code, 0.5 s for this.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
-from functools import reduce
+from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import rules
+from .sql import all_of, any_of
 
 #: Literals each signal pattern cannot match without: all groups must hold, a
 #: group holds if any of its words occurs.  Checked by tests/test_matching.py.
@@ -60,7 +61,7 @@ NEEDS = {
         ["scheduled", "set", "confirmed", "arranged"],
         ["interview", "meeting", "appointment", "exam", "test", "presentation", "review"]],
     r"\bscheduled\s+(interview|meeting|appointment)\b": [["scheduled"], ["interview", "meeting", "appointment"]],
-    r"\b(at|on)\s+\d{1,2}(:\d{2})?\s*(am|pm)\b": [["am", "pm"], ["at", "on"]],
+    r"\b(at|on)\s+\d{1,2}(:\d{2})?\s*(am|pm)\b": [["am", "pm"]],
     r"\b(interview|meeting|appointment)\b.{0,60}\b(tomorrow|today|am|pm|\d{1,2}:\d{2})\b": [
         ["interview", "meeting", "appointment"]],
     r"\b(tomorrow|today)\b.{0,60}\b(interview|meeting|appointment)\b": [
@@ -90,8 +91,13 @@ DEADLINE_WORDS = ["day", "2", "two", "within", "48", "tomorrow", "by", "before"]
 
 
 def literal_pieces(alternative: str) -> list[str]:
-    """Literals of a pattern made of literals, ``.`` and ``.*``."""
-    return [piece for piece in re.split(r"\.\*?", alternative) if piece]
+    """Literals a pattern made of literals, ``.`` and ``.*`` cannot match without.
+
+    Short pieces occur everywhere; they are left to the regular expression
+    unless there is nothing longer.
+    """
+    pieces = [piece for piece in re.split(r"\.\*?", alternative) if piece]
+    return [piece for piece in pieces if len(piece) > 3] or [max(pieces, key=len)]
 
 
 def hint_words(pattern: str) -> list[str]:
@@ -113,16 +119,17 @@ def _collect() -> list[str]:
 WORDS = _collect()
 BITS = 60  # per field; a long has 63 that are not the sign
 FIELDS = -(-len(WORDS) // BITS)
-SCHEMA = ", ".join(f"{kind}{i} long" for kind in ("lower", "fold") for i in range(FIELDS))
+SCHEMA = StructType([StructField(f"{kind}{i}", LongType()) for kind in ("lower", "fold") for i in range(FIELDS)])
 
 
 def _scanner(words: list[str], bits: int, fields: int):
     """The scan as a function that carries all it needs to the workers."""
 
-    def masks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def masks(texts: pd.Series) -> pd.DataFrame:
         try:
             import ahocorasick
 
+            # building it takes less than a millisecond per batch
             automaton = ahocorasick.Automaton()
             for number, word in enumerate(words):
                 automaton.add_word(word, 1 << number)
@@ -159,45 +166,44 @@ def _scanner(words: list[str], bits: int, fields: int):
             return [m >> shift & part for m in (mask, folded) for shift in range(0, bits * fields, bits)]
 
         names = [f"{kind}{i}" for kind in ("lower", "fold") for i in range(fields)]
-        for texts in batches:
-            yield pd.DataFrame([row(text) for text in texts], columns=names, dtype="int64")
+        return pd.DataFrame([row(text) for text in texts], columns=names, dtype="int64")
 
     return masks
 
 
-_masks = pandas_udf(_scanner(WORDS, BITS, FIELDS), SCHEMA)
+# Declared nondeterministic so that it is evaluated once: the optimizer takes
+# Python functions for free and would copy the call, with all that computes its
+# argument, into every expression that reads the result.
+_masks = pandas_udf(_scanner(WORDS, BITS, FIELDS), SCHEMA).asNondeterministic()
 _NUMBER = {word: i for i, word in enumerate(WORDS)}
 
 
 class Seen:
-    """Word tests on the masks of one text."""
+    """Word tests, as SQL, on the masks of one text."""
 
     def __init__(self, column: str):
         self.column = column
 
-    def _masks(self, words: Iterable[str], fold: bool) -> list[tuple[Column, int]]:
+    def _masks(self, words: Iterable[str], fold: bool) -> list[tuple[str, int]]:
         """The words as bits, per mask column that holds any of them."""
         bits: dict[int, int] = {}
         for word in words:
             field, bit = divmod(_NUMBER[word], BITS)
             bits[field] = bits.get(field, 0) | 1 << bit
         kind = "fold" if fold else "lower"
-        return [(F.col(f"{self.column}_{kind}{field}"), mask) for field, mask in bits.items()]
+        return [(f"{self.column}_{kind}{field}", mask) for field, mask in bits.items()]
 
-    def any(self, words: Iterable[str], fold: bool = False) -> Column:
+    def any(self, words: Iterable[str], fold: bool = False) -> str:
         """Does one of the words occur in the lower-cased (or case-folded) text?"""
-        tests = [column.bitwiseAND(F.lit(mask)) != 0 for column, mask in self._masks(words, fold)]
-        return reduce(lambda a, b: a | b, tests)
+        return any_of(f"({column} & {mask}L) != 0L" for column, mask in self._masks(words, fold))
 
-    def all(self, words: Iterable[str], fold: bool = False) -> Column:
+    def all(self, words: Iterable[str], fold: bool = False) -> str:
         """Do all of the words occur?"""
-        tests = [column.bitwiseAND(F.lit(mask)) == mask for column, mask in self._masks(words, fold)]
-        return reduce(lambda a, b: a & b, tests)
+        return all_of(f"({column} & {mask}L) = {mask}L" for column, mask in self._masks(words, fold))
 
-    def count(self, words: Iterable[str], fold: bool = False) -> Column:
+    def count(self, words: Iterable[str], fold: bool = False) -> str:
         """How many of the words occur?"""
-        counts = [F.bit_count(column.bitwiseAND(F.lit(mask))) for column, mask in self._masks(words, fold)]
-        return reduce(lambda a, b: a + b, counts)
+        return " + ".join(f"bit_count({column} & {mask}L)" for column, mask in self._masks(words, fold))
 
     @property
     def columns(self) -> list[str]:
@@ -210,10 +216,12 @@ def add_seen(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     All texts of a row cross to Python together, once.
     """
     df = df.withColumns({name: _masks(F.col(text)) for text, name in columns.items()})
-    return df.withColumns({
-        column: F.coalesce(F.col(f"{name}.{column.removeprefix(name + '_')}"), F.lit(0))
+    flat = [
+        f"coalesce({name}.{column.removeprefix(name + '_')}, 0L) AS {column}"
         for name in columns.values() for column in Seen(name).columns
-    }).drop(*columns.values())
+    ]
+    kept = [column for column in df.columns if column not in columns.values()]
+    return df.selectExpr(*kept, *flat)
 
 
 def drop_seen(df: DataFrame, *names: str) -> DataFrame:

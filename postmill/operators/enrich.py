@@ -151,7 +151,7 @@ def enrich_rows(
     })
     df = add_keyword_category(df, seen=of_class) if classify is None else classify(df)
     df = intents.add_intent(df, "_raw", raw, "slug")
-    df = df.withColumn("_wanted", action_detected(raw, F.col("_lowered")))
+    df = df.withColumn("_wanted", action_detected(raw, "_lowered"))
     df = add_priority(df, "_lowered", raw, "slug", "sender_email", as_of, "_wanted", "deadline_text", "deadline_datetime")
     df = df.withColumns({
         "key_points": key_points(F.col("entities")),
