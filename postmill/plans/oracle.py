@@ -182,7 +182,7 @@ FROM line l JOIN users USING (user_id)""")
 
 ITEM = f"""h.user_id, h.email_id, h.sender_name, h.sender_email, h.subject, {stamp('h.received_at')} AS received_at, h.is_analyzed,
   a.category_name, a.priority_level, a.priority_score, a.action_required, a.intent"""
-FOUND = "(h.subject ILIKE '%{0}%' OR h.body ILIKE '%{0}%' OR h.sender_name ILIKE '%{0}%' OR h.sender_email ILIKE '%{0}%')"
+FOUND = " OR ".join(f"contains(lower(h.{c}), '{{0}}')" for c in ("subject", "body", "sender_name", "sender_email")).join("()")
 add("inbox_search", f"""WITH {EMAILS}, {ANALYSIS} SELECT {ITEM} FROM emails h JOIN analysis a USING (email_id)
   WHERE a.category_name ILIKE '%career%' AND a.action_required AND {FOUND.format('please')}""")
 add("inbox_search_text", f"""WITH {EMAILS}, {ANALYSIS} SELECT {ITEM} FROM emails h LEFT JOIN analysis a USING (email_id)

@@ -90,8 +90,9 @@ def emails(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     how_many = documents.agg(F.count("*")).scalar()
     rows = source.withColumns(_header(source)).withColumn("doc_id", F.col("event_id") % how_many)
-    # the join key spreads the emails over all tasks before their text is added
-    rows = rows.repartition("doc_id")
+    # Spread the emails over all tasks before their text is added: by their size
+    # now, adaptive execution would put them into very few.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     return rows.join(documents, "doc_id").withColumn("body", F.concat_ws("\n", "phrase", "text")).select(
         *HEADER, "body"
     )
