@@ -49,7 +49,7 @@ HEADERS = f"""{PHRASE}, headers AS (
          CASE WHEN e.event_id % 11 <> 0 THEN 'Sender ' || (e.event_id % 50) END AS sender_name,
          p.sender_email, p.subject, e.ts AS received_at, e.event_id % 10 <> 0 AS is_analyzed, p.slug, p.phrase
   FROM events e JOIN phrase p ON p.k = e.event_id % 8)"""
-EMAILS = f"""{HEADERS}, emails AS (
+EMAILS = f"""{HEADERS}, emails AS MATERIALIZED (
   SELECT h.*, h.phrase || chr(10) || d.text AS body
   FROM headers h JOIN documents d ON d.doc_id = h.event_id % (SELECT count(*) FROM documents))"""
 ANALYSIS = f"""analysis AS (
@@ -509,7 +509,7 @@ add("patch_emails", f"""WITH {HEADERS} SELECT h.email_id, h.user_id, h.sender_na
     CASE WHEN h.event_id % 5 <> 0 AND h.event_id % 3 = 0 THEN 'Re: ' || e.event_type ELSE h.subject END AS subject,
     {stamp('h.received_at')} AS received_at, h.is_analyzed FROM headers h JOIN events e USING (event_id)""")
 _kept = "SELECT '{0}' AS table_name, count(*) AS rows FROM {0} WHERE email_id NOT IN (SELECT email_id FROM gone)"
-add("delete_cascade", f"""WITH {HEADERS}, emails AS (SELECT * FROM headers), {ANALYSIS}, {REPLIES}, entities AS (SELECT email_id FROM analysis),
+add("delete_cascade", f"""WITH {HEADERS}, emails AS MATERIALIZED (SELECT * FROM headers), {ANALYSIS}, {REPLIES}, entities AS (SELECT email_id FROM analysis),
   versions AS (SELECT email_id FROM replies), gone AS (SELECT email_id FROM headers WHERE event_id % 9 = 0 AND event_id % 2 = 0)
   {' UNION ALL '.join(_kept.format(t) for t in ('emails', 'analysis', 'entities', 'replies', 'versions'))}""")
 _stored = [(slug, "stored " + name) for name, slug, _, _ in rules.CATEGORIES[::2]]
