@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that change results or plans.  They are safe on a cluster: nothing
 #: here names a host, a core count or a path.
@@ -38,19 +38,46 @@ def local_session(cores: int | str = "*", app: str = "postmill", **conf: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables that all executors see.
 
-    It is the session's ``spark.checkpoint.dir``.  Only a local-mode session
-    that has none gets a temporary folder; on a cluster the setting is required.
+    It is the session's ``spark.checkpoint.dir``, else the checkpoint folder of
+    the context.  A local-mode session that has neither (tests, benchmark) gets
+    one under Spark's warehouse folder; on a cluster the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="postmill-")
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/work"
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def work_folder(spark: SparkSession) -> str:
+    """Folder of this application below the shared folder; ``remove_work`` deletes it."""
+    return f"{shared_folder(spark).rstrip('/')}/postmill-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the work folder and read again.
+
+    Cuts lineage and gives one evaluation to plans that read the rows several
+    times; unlike a local checkpoint it outlives a lost executor.
+    """
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete what this application wrote with ``written``; call it after the results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable, keeping a folder that is already set."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
