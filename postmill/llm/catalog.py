@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import hosts, lines, mixing, shards
+from postmill.llm import hosts, leaks, lines, mixing, quality, shards
 from postmill.llm.oracle import SQL  # noqa: F401
 
 #: Rules of the URL filter, as its contract fixes them: (verdict, host and path).
@@ -40,4 +40,23 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_url_filter, op8_sharding)}
+def held_out(id_col: str = "doc_id") -> Column:
+    """Rows that no classifier learns from."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
+    return quality.train(docs, _table(spark, sf_dir, "labels").where(~held_out()))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality_model(spark, docs, sf_dir)).withColumnRenamed("quality_score", "score")
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_url_filter, op6_quality, op8_sharding, op9_decontamination)}

@@ -70,6 +70,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = docs.schema["id"].dataType.simpleString()
     found = written(known.mapInArrow(suspected, f"id {id_type}, key binary"), "line-suspects")
     repeats = found.groupBy("key").agg(F.countDistinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
+    repeats = written(repeats.select("key", "keeper"), "line-repeats")  # as a table of its own, so that the join below can split a frequent key
     lost = found.join(repeats, "key").where("id <> keeper").groupBy("id").agg(F.collect_set("key").alias("lost"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
