@@ -78,7 +78,7 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
 
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, shards: int = 8, seed: int = 0,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slice_rows: int = 20_000,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slice_rows: int = 2_000,
 ) -> DataFrame:
     """All columns of ``docs`` with ``size, source_size, target, taken, pieces``.
 
