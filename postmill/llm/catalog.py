@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import hosts, leaks, lines, mixing, quality, shards
+from postmill.llm import hosts, leaks, lines, mixing, ngrams, quality, shards
 from postmill.llm.oracle import SQL  # noqa: F401
 
 #: Rules of the URL filter, as its contract fixes them: (verdict, host and path).
@@ -40,6 +40,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.near_sets(_table(spark, sf_dir, "documents"))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no classifier learns from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -59,4 +63,4 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_url_filter, op6_quality, op8_sharding, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_url_filter, op4_ngram_join, op6_quality, op8_sharding, op9_decontamination)}
