@@ -58,7 +58,7 @@ def _after(key: str, splitter: int) -> Column:
     return F.lit(False) if splitter > HIGHEST else F.col(key) >= F.lit(splitter)
 
 
-def shard(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.01, id_col: str = "doc_id", text_col: str = "text", slot_rows: int = 20_000) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.01, id_col: str = "doc_id", text_col: str = "text", slot_rows: int = 2_000) -> DataFrame:
     """All columns of ``docs`` with ``shard_size``, ``shard`` and ``slot``.
 
     A row weighs the UTF-8 bytes of its text and one more (null text: one).
