@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import hosts, leaks, lines, mixing, ngrams, quality, shards
+from postmill.llm import hosts, leaks, lines, mixing, ngrams, quality, shards, suffixes
 from postmill.llm.oracle import SQL  # noqa: F401
 
 #: Rules of the URL filter, as its contract fixes them: (verdict, host and path).
@@ -63,4 +63,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_url_filter, op4_ngram_join, op6_quality, op8_sharding, op9_decontamination)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.drop_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_url_filter, op4_ngram_join, op6_quality, op8_sharding, op9_decontamination, op10_suffix_dedup)}
