@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import hosts, leaks, lines, mixing, ngrams, quality, shards, suffixes
+from postmill.llm import hosts, leaks, lines, mixing, ngrams, quality, search, shards, suffixes, wrappers
 from postmill.llm.oracle import SQL  # noqa: F401
 
 #: Rules of the URL filter, as its contract fixes them: (verdict, host and path).
@@ -32,6 +32,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.filter_urls(_table(spark, sf_dir, "pages"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth document is a query against all."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return search.top_k(docs, queries)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.shard(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -44,6 +51,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.near_sets(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no classifier learns from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -68,4 +79,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_url_filter, op4_ngram_join, op6_quality, op8_sharding, op9_decontamination, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_url_filter, op4_ngram_join, op5_html_text, op6_quality, op7_topk_search, op8_sharding, op9_decontamination, op10_suffix_dedup)}
