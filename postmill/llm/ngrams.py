@@ -273,13 +273,13 @@ def near_sets(docs: DataFrame, width: int = 3, threshold: int = 90, id_col: str
         if new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
-        found = written(components(links), "components")
+        found = written(components(links, rounds=1), "components")
 
     # documents of one class link, and so do texts of one id: both join the class's first document
     same = sets.where("n > 0 AND id IS NOT NULL").join(classes, ["s1", "s2", "n"]).select("id", "n", "node")
     several = same.groupBy("id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("id")
     bridges = several.join(same, "id").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    if not bridges.isEmpty():
+    if links is not None or not bridges.isEmpty():
         found = written(components(bridges if links is None else links.unionByName(bridges)), "components")
     out = sets.join(classes.select("s1", "s2", F.col("n").alias("n_class"), "node"), ["s1", "s2"], "left")
     if found is not None:
