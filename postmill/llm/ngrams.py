@@ -35,6 +35,9 @@ ROUNDS = 3
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
+_ODD = [(m << np.uint64(1)) | np.uint64(1) for m in _MIX]
+
+
 class _Hashes(dict):
     """Word to 64-bit hash; forgets all when it has grown large."""
 
@@ -64,7 +67,7 @@ def shingles(raw: bytes | None, known: _Hashes, width: int) -> np.ndarray:
     size = min(width, len(words))
     total = np.full(len(words) - size + 1, np.uint64(size))
     for i in range(size):
-        total = (total * _MIX[i % 3]) ^ _mixed(h[i : len(words) - size + 1 + i] + np.uint64(i))
+        total += h[i : len(words) - size + 1 + i] * _ODD[i % len(_ODD)]
     return np.unique(_mixed(total))
 
 
@@ -203,13 +206,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) ->
     return written(near, "links")
 
 
-def _enough(threshold: int):
-    """Whether shared prefix rows allow the overlap: those beyond the prefixes are at most the larger rest.
+def _needed(threshold: int) -> str:
+    """Single keys that two near sets share at least: what their prefixes leave is shorter than the overlap by as many."""
+    return f"(ceil({threshold} * (n_a + n_b) / {100 + threshold}) - greatest(ceil({threshold} * n_a / 100), ceil({threshold} * n_b / 100)) + 1)"
 
-    Only for single-shingle keys; pair keys are always worth a comparison.
-    """
-    return F.expr(f"""light OR common + greatest(n_a - (n_a - ceil({threshold} * n_a / 100) + 1), n_b - (n_b - ceil({threshold} * n_b / 100) + 1))
-                      >= ceil({threshold} * (n_a + n_b) / {100 + threshold})""")
+
+def _enough(threshold: int):
+    """Whether a pair shares enough single keys; pair keys are always worth a comparison."""
+    return F.expr(f"light OR common >= {_needed(threshold)}")
 
 
 def near_sets(docs: DataFrame, width: int = 3, threshold: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,9 +268,13 @@ def near_sets(docs: DataFrame, width: int = 3, threshold: int = 90, id_col: str
             pairs = pairs.withColumn("light", F.col("bit") == 1).where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, least_b)").where(_enough(threshold))
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("common", F.xxhash64("b"))).alias("b"))
         else:
-            other = here.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("own").alias("own_b"))
-            pairs = here.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("own").alias("own_a")).join(other, "key")
-            pairs = pairs.where(f"a < b AND own_a <> own_b AND 100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)")
+            # a pair cannot share more single keys than either has left: that alone settles most pairs of a large list
+            left = here.groupBy("node").agg(F.sum(F.expr("1 - (key & 1)")).alias("left"))
+            here = here.join(written(left, "left"), "node")
+            a, b = (here.select("key", *(F.col(c).alias(f"{new}_{x}") for c, new in (("node", "id"), ("n", "n"), ("own", "own"), ("left", "left")))) for x in "ab")
+            fits = f"""id_a < id_b AND own_a <> own_b AND 100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)
+                       AND (key & 1 = 1 OR least(left_a, left_b) >= {_needed(threshold)})"""
+            pairs = a.join(b, "key").where(fits).withColumnsRenamed({"id_a": "a", "id_b": "b"})
             pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"), F.max(F.expr("key & 1")).alias("bit"))
             pairs = pairs.withColumn("light", F.col("bit") == 1).where(_enough(threshold)).select("a", "b").distinct()
         new = _verified(written(pairs.select("a", "b"), "pairs"), docs, threshold, width)
