@@ -10,6 +10,7 @@ whole item, and the share of the item's rarest words (its answer) present.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,19 +45,24 @@ def word_ids(text: str | None, known: _Ids) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
-def _text_batches(df: DataFrame, make, schema: str) -> DataFrame:
-    return df.mapInArrow(make, schema)
-
-
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents that hold each bucket, and the number of documents."""
+    """Documents that hold the words of each bucket (summed over its words), and the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, n = _Ids(), np.zeros(BUCKETS, np.int64), 0
+        by_word, total, n = Counter(), np.zeros(BUCKETS, np.int64), 0
+
+        def fold() -> None:
+            at = np.fromiter((xxhash.xxh3_64_intdigest(w) & (BUCKETS - 1) for w in by_word), np.int64, len(by_word))
+            np.add.at(total, at, np.fromiter(by_word.values(), np.int64, len(by_word)))
+            by_word.clear()
+
         for b in batches:
             for t in b.column(0).to_pylist():
-                total[np.unique(word_ids(t, known))] += 1
+                by_word.update(set((t or "").encode().translate(_LOWER, _DROP).split()))
                 n += 1
+            if len(by_word) > 500_000:
+                fold()
+        fold()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["bucket", "n"])
 
@@ -188,7 +194,7 @@ def find_leaks(
     df, n = document_frequency(docs)
     idf = np.log((n + 1) / (df + 1)) + 0.01
     space = latent_space(items, idf, rank)
-    lookup = sc.broadcast((space * idf[:, None].astype(np.float32), (idf * idf).astype(np.float32)))
+    lookup = sc.broadcast((space * idf[:, None].astype(np.float32), np.abs(space).max(axis=1) > 1e-7, (idf * idf).astype(np.float32)))
     out = None
     known = _Ids()
     block: list[tuple] = []
@@ -226,7 +232,7 @@ def _against(docs: DataFrame, block: list[tuple], lookup, space: np.ndarray, idf
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, owners, items = shared.value
-        table, squares = lookup.value
+        table, used, squares = lookup.value
         known = _Ids()
         for b in batches:
             out: list[tuple] = []
@@ -240,12 +246,12 @@ def _against(docs: DataFrame, block: list[tuple], lookup, space: np.ndarray, idf
                     group.append((r, ids))
                     words += len(ids)
                 if group and (words > 60_000 or r == b.num_rows - 1):
-                    for row, found in _compare(group, q, owners, items, table, squares, cosine, min_common, min_answer):
+                    for row, found in _compare(group, q, owners, items, table, used, squares, cosine, min_common, min_answer):
                         from_row.append(row)
                         out.append(found)
                     group, words = [], 0
             if group:
-                for row, found in _compare(group, q, owners, items, table, squares, cosine, min_common, min_answer):
+                for row, found in _compare(group, q, owners, items, table, used, squares, cosine, min_common, min_answer):
                     from_row.append(row)
                     out.append(found)
             cols = list(zip(*out)) if out else [[]] * 6
@@ -256,7 +262,7 @@ def _against(docs: DataFrame, block: list[tuple], lookup, space: np.ndarray, idf
     return docs.mapInArrow(search, schema)
 
 
-def _compare(group, q, owners, items, table, squares, cosine, min_common, min_answer) -> Iterator[tuple[int, tuple]]:
+def _compare(group, q, owners, items, table, used, squares, cosine, min_common, min_answer) -> Iterator[tuple[int, tuple]]:
     """Leaks in a group of documents: (row, (item, first_word, words, cosine, common, answer))."""
     if not q.shape[1]:
         return
@@ -264,7 +270,11 @@ def _compare(group, q, owners, items, table, squares, cosine, min_common, min_an
     steps = -(-lengths // STEP)
     starts = np.concatenate([np.arange(0, n, STEP) + at for n, at in zip(lengths, np.append(0, lengths.cumsum()[:-1]))])
     every = np.concatenate([ids for _, ids in group])
-    sums = np.add.reduceat(table[every], starts, axis=0)
+    held = used[every]  # other words have no place in the latent space
+    at = np.append(0, held.cumsum())[starts]
+    rows = np.concatenate([table[every[held]], np.zeros((1, table.shape[1]), np.float32)])
+    sums = np.add.reduceat(rows, at, axis=0)
+    sums[np.diff(at, append=rows.shape[0] - 1) == 0] = 0
     norms = np.add.reduceat(squares[every], starts)
     owner = np.repeat(np.arange(len(group)), steps)
     joined = np.append(owner[1:] == owner[:-1], False)  # a window is a step and the next of the same document
@@ -273,23 +283,27 @@ def _compare(group, q, owners, items, table, squares, cosine, min_common, min_an
     sums /= np.sqrt(np.maximum(norms, 1e-9))[:, None]
     near = sums @ q
     wins, hits = np.nonzero(near >= cosine)
-    order = np.lexsort((-near[wins, hits], owners[hits], owner[wins]))
+    order = np.lexsort((owners[hits], wins))
     first_step = np.append(0, steps.cumsum())
     best: dict[tuple[int, int], tuple] = {}
+    longest = max(len(words) for _, words, _ in items)
+    seen_window, seen = -1, set()
     for w, h in zip(wins[order].tolist(), hits[order].tolist()):
         k, doc = int(owners[h]), int(owner[w])
         item, words, answer = items[k]
-        if best.get((doc, k), (0, 0, 0, 0, 0, 0))[4] == 1:
-            continue
         row, ids = group[doc]
         at = (w - int(first_step[doc])) * STEP
+        if w != seen_window:
+            seen_window, seen = w, set(ids[max(0, at - longest) : at + 2 * STEP + longest].tolist())
+        if len(answer & seen) < min_answer * len(answer) or (doc, k) in best and best[doc, k][4] == 1:
+            continue
         lo = max(0, at - len(words))
         region = ids[lo : at + 2 * STEP + len(words)].tolist()
         n, start, span = best_match(words, region)
         if n < min_common * len(words):
             continue
         share = len(answer.intersection(region[start : start + span])) / len(answer)
-        if share >= min_answer and n / len(words) > best.get((doc, k), (0, 0, 0, 0, -1, 0))[4]:
+        if share >= min_answer and ((doc, k) not in best or n / len(words) > best[doc, k][4]):
             best[doc, k] = (item, lo + start, span, float(near[w, h]), n / len(words), share)
     for (doc, _), found in best.items():
         yield group[doc][0], found
