@@ -99,13 +99,14 @@ def trend_avg_priority(emails: DataFrame, analysis: DataFrame) -> DataFrame:
 
 
 def top_categories(emails: DataFrame, analysis: DataFrame, n: int = 8) -> DataFrame:
-    """The ``n`` most frequent categories over all users."""
-    named = F.coalesce("category_name", F.lit("Other")).alias("category")
-    return (
-        emails.select("email_id").join(analysis.select("email_id", "category_name"), "email_id")
-        .groupBy("category_name").agg(F.count("*").alias("count"))
-        .select(named, "count").orderBy(F.desc("count"), "category").limit(n)
+    """The ``n`` most frequent categories of each user."""
+    counted = (
+        emails.select("email_id", USER).join(analysis.select("email_id", "category_name"), "email_id")
+        .groupBy(USER, "category_name").agg(F.count("*").alias("count"))
+        .select(USER, F.coalesce("category_name", F.lit("Other")).alias("category"), "count")
     )
+    rank = F.row_number().over(Window.partitionBy(USER).orderBy(F.desc("count"), "category"))
+    return counted.withColumn("_rank", rank).filter(F.col("_rank") <= n).orderBy(USER, "_rank").drop("_rank")
 
 
 def inbox_insights(

@@ -8,11 +8,39 @@ from pyspark.sql import functions as F
 from ..schemas import ANALYZED_EMAILS
 
 REQUIRED = ANALYZED_EMAILS.fieldNames()
-TEXT = ["email_id", "category", "priority_level", "sentiment", "intent"]
 LEVELS = ["low", "medium", "high"]
 SENTIMENTS = ["positive", "neutral", "negative"]
 
 
+def _text(raw: Column) -> Column:
+    return F.trim(raw.cast("string"))
+
+
+def _keyword(raw: Column) -> Column:
+    return F.lower(_text(raw))
+
+
+def _filled(value: Column) -> Column:
+    return value != ""
+
+
+def _any(value: Column) -> Column:
+    return value.isNotNull()
+
+
+#: Of each column: its typed value, and what the value must fulfil.
+RULES = {
+    "email_id": (_text, _filled),
+    "received_at": (lambda raw: F.try_to_timestamp(raw).cast("timestamp"), _any),
+    "category": (_text, _filled),
+    "priority_score": (lambda raw: raw.try_cast("double"), lambda value: (value >= 0) & (value <= 100)),  # NaN is above all numbers
+    "priority_level": (_keyword, lambda value: value.isin(LEVELS)),
+    "sentiment": (_keyword, lambda value: value.isin(SENTIMENTS)),
+    "action_required": (lambda raw: raw.try_cast("boolean"), _any),
+    "intent": (_text, _filled),
+}
+
+
 def analyzed_emails(emails: DataFrame, analysis: DataFrame) -> DataFrame:
     """The batch input: emails that have an analysis, all users."""
     return emails.select("email_id", "received_at").join(
@@ -24,49 +52,31 @@ def analyzed_emails(emails: DataFrame, analysis: DataFrame) -> DataFrame:
     )
 
 
-def _require_columns(df: DataFrame) -> None:
-    missing = sorted(set(REQUIRED) - set(df.columns))
-    if missing:
-        raise ValueError(f"Email DataFrame is missing columns: {', '.join(missing)}")
-
+def judged_emails(df: DataFrame) -> DataFrame:
+    """Input rows as ``raw``, their typed values as ``typed``, and ``reject_reason``.
 
-def _normalized(df: DataFrame) -> DataFrame:
-    """Typed columns; what cannot be converted becomes null."""
-    tidy = lambda name: F.lower(F.trim(F.col(name).cast("string")))
-    return df.withColumns({
-        "received_at": F.try_to_timestamp(F.col("received_at")).cast("timestamp"),
-        "priority_score": F.col("priority_score").try_cast("double"),
-        "priority_level": tidy("priority_level"),
-        "sentiment": tidy("sentiment"),
-        "action_required": F.col("action_required").try_cast("boolean"),
-    })
-
-
-def _is_valid() -> Column:
-    present = [F.col(name).isNotNull() for name in REQUIRED]
-    filled = [F.length(F.trim(F.col(name).cast("string"))) > 0 for name in TEXT]
-    score = F.col("priority_score")
-    valid = ~F.isnan(score) & score.between(0, 100)
-    valid = valid & F.col("priority_level").isin(LEVELS) & F.col("sentiment").isin(SENTIMENTS)
-    for condition in present + filled:
-        valid = valid & condition
-    return F.coalesce(valid, F.lit(False))
+    The reason names the first column, in the order of the contract, that is
+    missing or does not fulfil its rule; it is null for valid rows.
+    """
+    absent = [name for name in sorted(RULES) if name not in df.columns]
+    if absent:
+        raise ValueError("no column " + ", ".join(absent))
+    typed = F.struct(*(convert(F.col(name)).alias(name) for name, (convert, _) in RULES.items()))
+    judged = df.select(F.struct(*df.columns).alias("raw"), typed.alias("typed"))
+    broken = [F.when(~F.coalesce(holds(F.col(f"typed.{name}")), F.lit(False)), F.lit(name)) for name, (_, holds) in RULES.items()]
+    return judged.withColumn("reject_reason", F.coalesce(*broken))
 
 
 def clean_emails(df: DataFrame) -> DataFrame:
-    """Valid rows, trimmed, with ``received_date``."""
-    _require_columns(df)
-    trimmed = {name: F.trim(F.col(name).cast("string")) for name in ("email_id", "category", "intent")}
-    return _normalized(df).filter(_is_valid()).withColumns(
-        {**trimmed, "received_date": F.to_date("received_at")}
-    )
+    """Valid rows with typed columns and ``received_date``; further columns stay as they are."""
+    valid = judged_emails(df).where("reject_reason IS NULL")
+    columns = [F.col(f"typed.{c}" if c in RULES else f"raw.{c}").alias(c) for c in df.columns]
+    return valid.select(*columns, F.to_date("typed.received_at").alias("received_date"))
 
 
 def rejected_emails(df: DataFrame) -> DataFrame:
-    """The complement of :func:`clean_emails`, as it came in."""
-    _require_columns(df)
-    kept = df.withColumn("_raw", F.struct(*df.columns))
-    return _normalized(kept).filter(~_is_valid()).select("_raw.*")
+    """The rows that :func:`clean_emails` leaves out, as they came in, with ``reject_reason``."""
+    return judged_emails(df).where("reject_reason IS NOT NULL").select("raw.*", "reject_reason")
 
 
 AGGREGATES = {

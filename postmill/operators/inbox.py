@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranking import HOT_ROWS, add_row_number
+from .ranking import add_row_number
 
 LIST_ITEM = [
     "email_id", "sender_name", "sender_email", "subject", "received_at", "is_analyzed",
@@ -64,32 +64,27 @@ def _newest_first() -> list[Column]:
     return [F.col("received_at").desc(), F.col("email_id")]
 
 
-#: Up to this rank Spark keeps only the leading rows of each group before the
-#: shuffle (its own limit for pushing a row_number filter below the exchange).
-SHALLOW_RANK = 1000
-
-
-def inbox_page(
-    items: DataFrame, page: int = 1, page_size: int = 20, by: str | None = "user_id", hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def inbox_page(items: DataFrame, page: int = 1, page_size: int = 20, by: str | None = "user_id") -> DataFrame:
     """One page, newest first; of every user (``by``) or of the whole input.
 
-    Shallow pages keep the leading rows per partition before any exchange.
-    Deep pages rank the keys alone, over all tasks, and fetch the few rows.
+    Pages of users come ordered by user.  There Spark keeps only the leading
+    rows of each partition before the exchange as long as the page allows it.
+    A page of the whole input ranks the keys alone, over all tasks, and fetches
+    its few rows.
     """
     _check_page(page, page_size)
     first, last = (page - 1) * page_size, page * page_size
     order = _newest_first()
-    if last <= SHALLOW_RANK:
-        if by is None:
-            return items.orderBy(*order).offset(first).limit(page_size)
+    if by is not None:
         rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-        return items.withColumn("_rank", rank).filter(F.col("_rank") <= last).filter(F.col("_rank") > first).drop("_rank")
-
-    keys = items.select(F.lit(0).alias("_all") if by is None else F.col(by).alias("_all"), *NEWEST_FIRST)
-    ranked = add_row_number(keys, ["_all"], order, "_rank", hot_rows)
-    wanted = ranked.filter((F.col("_rank") > first) & (F.col("_rank") <= last)).select("email_id")
-    return items.join(wanted, "email_id", "left_semi")
+        ranked = items.withColumn("_rank", rank).filter(F.col("_rank") <= last).filter(F.col("_rank") > first)
+        return ranked.orderBy(by, "_rank").drop("_rank")
+    keys = items.select(F.lit(0).alias("_all"), *NEWEST_FIRST)
+    ranked = add_row_number(keys, ["_all"], order, "_rank").filter(F.col("_rank").between(first + 1, last))
+    wanted = F.broadcast(ranked.select("_rank", *NEWEST_FIRST)).alias("w")  # a page at most
+    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"w.{c}")) for c in NEWEST_FIRST]
+    found = items.alias("i").join(wanted, same[0] & same[1]).dropDuplicates(["_rank"])
+    return found.orderBy("_rank").select("i.*")
 
 
 def page_totals(items: DataFrame, page_size: int = 20) -> DataFrame:
@@ -99,9 +94,11 @@ def page_totals(items: DataFrame, page_size: int = 20) -> DataFrame:
     return items.groupBy("user_id").agg(F.count("*").alias("total")).withColumn("total_pages", pages)
 
 
-def action_queue(items: DataFrame, n: int = 5) -> DataFrame:
-    """The newest emails that need an action."""
-    return items.filter("action_required").orderBy(*_newest_first()).limit(n)
+def action_queue(items: DataFrame, n: int = 5, by: str = "user_id") -> DataFrame:
+    """The newest ``n`` emails of each user that need an action."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*_newest_first()))
+    ranked = items.filter("action_required").withColumn("_rank", rank).filter(F.col("_rank") <= n)
+    return ranked.orderBy(by, "_rank").drop("_rank")
 
 
 REPLY_FIELDS = ["current_content", "tone", "status", "is_user_edited"]

@@ -16,7 +16,7 @@ from ..functions.priority import lookup
 from ..functions.text import split_items
 from ..functions.rules import CATEGORIES, CATEGORY_KEYWORDS, FACTORS
 from ..operators import analytics, batch, classify, enrich, evaluate, inbox, maintain, replies, sentiment, training
-from ..session import shared_folder
+from ..session import work_folder
 from ..sources import adapters as src
 from ..sources.readers import small_table
 from ..streaming import ingest
@@ -538,7 +538,7 @@ def append_pending(spark, folder):
 @query
 def incoming_valid(spark, folder):
     checked = maintain.incoming_checks(src.incoming(spark, folder), src.users(spark, folder))
-    return times_as_text(maintain.incoming_valid(checked).drop("sender_name"))
+    return times_as_text(maintain.incoming_valid(checked).drop("sender_name").withColumn("body", F.md5("body")))
 
 
 @query
@@ -550,7 +550,7 @@ def incoming_rejects(spark, folder):
 # ---- streams ----------------------------------------------------------------
 
 def _run_folder(spark):
-    return f"{shared_folder(spark).rstrip('/')}/postmill-{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/run-{uuid.uuid4().hex}"
 
 
 @query
@@ -572,12 +572,13 @@ def stream_daily_volume(spark, folder):
 
 @query
 def stream_ingest(spark, folder):
-    """Incoming mail analyzed as a stream; the stored analysis afterwards."""
+    """Incoming mail analyzed as a stream; the stored analysis and drafts afterwards."""
     out = _run_folder(spark)
     src.incoming(spark, folder).write.parquet(f"{out}/in")
     ingest.start_ingest(
         spark, f"{out}/in", f"{out}/mail", f"{out}/checkpoint", src.users(spark, folder), lambda: AS_OF
     ).awaitTermination()
+    drafts = ingest.latest(spark, f"{out}/mail", "replies").select("email_id", F.md5("current_content").alias("draft_md5"))
     return ingest.latest_analysis(spark, f"{out}/mail").select(
         "email_id", "category_name", "intent", "priority_score", "priority_level", "action_required"
-    )
+    ).join(drafts, "email_id")

@@ -152,9 +152,9 @@ add("trend_priority_distribution", f"WITH {INBOX} {share('priority_level', 'leve
 MEANS = """means AS (SELECT user_id, coalesce(category_name, 'Other') AS category, avg(priority_score) AS mean
   FROM headers JOIN analysis USING (email_id) GROUP BY user_id, category_name)"""
 add("trend_avg_priority", f"WITH {INBOX}, {MEANS} SELECT user_id, category, {fixed('coalesce(mean, 0)', 1)} AS avg_priority FROM means")
-add("top_categories", f"""WITH {INBOX} SELECT category, count FROM (
-  SELECT coalesce(category_name, 'Other') AS category, count(*) AS count FROM headers JOIN analysis USING (email_id)
-  GROUP BY category_name) ORDER BY count DESC, category LIMIT 8""")
+add("top_categories", f"""WITH {INBOX} SELECT user_id, category, count FROM (
+  SELECT user_id, coalesce(category_name, 'Other') AS category, count(*) AS count FROM headers JOIN analysis USING (email_id)
+  GROUP BY user_id, category_name) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count DESC, category) <= 8""")
 add("inbox_insights", f"""WITH {SUMMARY}, {MEANS}, users AS (SELECT c_custkey AS user_id FROM customer),
 frequent AS (SELECT DISTINCT ON (user_id) user_id, category, percentage FROM ({share('category_name', 'category', 'Other')})
              ORDER BY user_id, count DESC, category),
@@ -194,8 +194,9 @@ add("inbox_page_deep", f"""WITH {INBOX} SELECT {ITEM} FROM headers h LEFT JOIN a
   ORDER BY h.received_at DESC, h.email_id LIMIT 100 OFFSET 1400""")
 add("inbox_page_totals", f"""WITH {INBOX} SELECT user_id, count(*) AS total, CAST(greatest(1, ceil(count(*) / 10)) AS BIGINT) AS total_pages
   FROM headers JOIN analysis USING (email_id) WHERE priority_level = 'high' GROUP BY 1""")
-add("action_queue", f"""WITH {INBOX} SELECT {ITEM} FROM headers h JOIN analysis a USING (email_id) WHERE a.action_required
-  ORDER BY h.received_at DESC, h.email_id LIMIT 5""")
+add("action_queue", f"""WITH {INBOX} SELECT * EXCLUDE (rn) FROM (
+  SELECT {ITEM}, row_number() OVER (PARTITION BY h.user_id ORDER BY h.received_at DESC, h.email_id) AS rn
+  FROM headers h JOIN analysis a USING (email_id) WHERE a.action_required) WHERE rn <= 5""")
 add("needs_review", f"""WITH {PHRASE}, {ANALYSIS} SELECT email_id, category_confidence, category_confidence < 0.55 AS needs_review FROM analysis""")
 add("category_lookup", f"""WITH {PHRASE}, {ANALYSIS}, dim(name, slug) AS ({values([(n, s) for n, s, _, _ in rules.CATEGORIES])})
   SELECT a.email_id, coalesce(d.name, 'Other') AS category, coalesce(d.slug, 'other') AS slug
@@ -518,12 +519,12 @@ add("insert_missing_categories", f"""WITH {PHRASE}, {ANALYSIS}, stored(slug, nam
 CHECKED = f"""{PHRASE}, incoming AS (
   SELECT e.event_id, CAST(e.event_id AS VARCHAR) AS email_id, coalesce(p.sender_email, CASE WHEN e.event_id % 16 = 2 THEN '' ELSE 'someone@web.net' END) AS sender,
     CASE WHEN e.event_id % 17 = 0 THEN 'nobody@example.com' ELSE 'customer#' || lpad(CAST(e.user_id AS VARCHAR), 9, '0') || '@EXAMPLE.com' END AS recipient,
-    p.subject, CASE WHEN e.event_id % 19 = 0 THEN '' ELSE p.phrase END AS body, e.ts AS received_at
-  FROM events e JOIN phrase p ON p.k = e.event_id % 8),
+    p.subject, CASE WHEN e.event_id % 19 = 0 THEN '' ELSE p.phrase || chr(10) || d.text END AS body, e.ts AS received_at
+  FROM events e JOIN phrase p ON p.k = e.event_id % 8 JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)),
 owner AS (SELECT c_custkey AS user_id, lower(c_name || '@example.com') AS email FROM customer WHERE c_custkey % 13 <> 0),
 checked AS (SELECT i.*, o.user_id, CASE WHEN i.body = '' THEN 'empty body' WHEN length(i.sender) NOT BETWEEN 1 AND 255 THEN 'sender length'
     WHEN o.user_id IS NULL THEN 'unknown recipient' END AS reject_reason FROM incoming i LEFT JOIN owner o ON o.email = lower(i.recipient))"""
-add("incoming_valid", f"""WITH {CHECKED} SELECT email_id, user_id, sender AS sender_email, subject, body, {stamp('received_at')} AS received_at, FALSE AS is_analyzed
+add("incoming_valid", f"""WITH {CHECKED} SELECT email_id, user_id, sender AS sender_email, subject, md5(body) AS body, {stamp('received_at')} AS received_at, FALSE AS is_analyzed
   FROM checked WHERE reject_reason IS NULL""")
 add("incoming_rejects", f"WITH {CHECKED} SELECT email_id, reject_reason FROM checked WHERE reject_reason IS NOT NULL")
 add("append_pending", f"""WITH {CHECKED}, {HEADERS.removeprefix(PHRASE + ', ')}
@@ -534,3 +535,13 @@ add("append_pending", f"""WITH {CHECKED}, {HEADERS.removeprefix(PHRASE + ', ')}
 # ---- streams ----------------------------------------------------------------
 
 add("stream_daily_volume", "SELECT strftime(ts, '%Y-%m-%d') AS date, event_type AS category, count(*) AS email_count FROM events GROUP BY 1, 2")
+
+#: The enrichment of the mail that the stream accepts, and its draft replies.
+INGESTED = ENRICHED.replace(EMAILS, f"""{CHECKED}, emails AS MATERIALIZED (
+  SELECT event_id, email_id, user_id, CAST(NULL AS VARCHAR) AS sender_name, sender AS sender_email, subject, received_at, body, NULL AS slug
+  FROM checked WHERE reject_reason IS NULL)""")
+add("stream_ingest", f"""WITH {INGESTED}, {request_sql('scored')}, drafted AS (SELECT *, replace(replace({_template}, '{{sender}}', {q(rules.UNKNOWN_SENDER)}), {q(rules.FOLLOW_UP)},
+    CASE WHEN requested_action IS NOT NULL THEN {q(rules.ACTION_SENTENCE[0])} || lower(requested_action) || {q(rules.ACTION_SENTENCE[1])}
+         WHEN deadline_text <> '' THEN {q(rules.DEADLINE_SENTENCE[0])} || deadline_text || {q(rules.DEADLINE_SENTENCE[1])} ELSE {q(rules.FOLLOW_UP)} END) AS draft
+    FROM requested)
+  SELECT email_id, k_name AS category_name, intent, priority_score, priority_level, action_required, md5(draft) AS draft_md5 FROM drafted""")

@@ -72,6 +72,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def remove_work(spark: SparkSession) -> None:
     """Delete what this application wrote with ``written``; call it after the results are stored."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_folder(spark))

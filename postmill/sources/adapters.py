@@ -84,18 +84,21 @@ def email_headers(spark: SparkSession, folder: str) -> DataFrame:
     return source.withColumns(_header(source)).select(*HEADER)
 
 
-def emails(spark: SparkSession, folder: str) -> DataFrame:
-    """Emails: a phrase followed by the whole text of a document."""
-    source = _events_with_phrase(spark, folder)
+def _with_body(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """Add ``body``: the phrase followed by the whole text of a document."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
     how_many = documents.agg(F.count("*")).scalar()
-    rows = source.withColumns(_header(source)).withColumn("doc_id", F.col("event_id") % how_many)
+    rows = rows.withColumn("doc_id", F.col("event_id") % how_many)
     # Spread the emails over all tasks before their text is added: by their size
     # now, adaptive execution would put them into very few.
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    return rows.join(documents, "doc_id").withColumn("body", F.concat_ws("\n", "phrase", "text")).select(
-        *HEADER, "body"
-    )
+    return rows.join(documents, "doc_id").withColumn("body", F.concat_ws("\n", "phrase", "text"))
+
+
+def emails(spark: SparkSession, folder: str) -> DataFrame:
+    """Emails: a phrase followed by the whole text of a document."""
+    source = _events_with_phrase(spark, folder)
+    return _with_body(spark, folder, source.withColumns(_header(source))).select(*HEADER, "body")
 
 
 def analysis(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,12 +162,12 @@ def incoming(spark: SparkSession, folder: str) -> DataFrame:
     """Incoming mail, some of it to be rejected."""
     number = F.col("event_id")
     address = F.concat(F.lit("customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0"), F.lit("@EXAMPLE.com"))
-    return _events_with_phrase(spark, folder).select(
+    return _with_body(spark, folder, _events_with_phrase(spark, folder)).select(
         number.cast("string").alias("email_id"),
         F.coalesce("sender_email", F.when(number % 16 == 2, "").otherwise("someone@web.net")).alias("sender"),
         F.when(number % 17 == 0, "nobody@example.com").otherwise(address).alias("recipient"),
         "subject",
-        F.when(number % 19 == 0, "").otherwise(F.col("phrase")).alias("body"),
+        F.when(number % 19 == 0, "").otherwise(F.col("body")).alias("body"),
         _utc("ts").alias("received_at"),
     )
 

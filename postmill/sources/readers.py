@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from ..functions import rules
 from ..functions.entities import moment
 from ..schemas import CATEGORIES, LABELLED_TEXT, PUBLIC_TEXT, SEED_EMAILS
+from ..session import exists
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
@@ -68,8 +69,9 @@ def categories(spark: SparkSession) -> DataFrame:
 
 
 def load_model(path: str) -> PipelineModel | None:
-    """A saved classifier, or None (then the keyword scorer is used)."""
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # absent or unreadable: a missing model is not an error
-        return None
+    """A saved classifier, or None if the path does not exist (then the keyword scorer is used).
+
+    Any other failure, a broken model included, is raised.
+    """
+    spark = SparkSession.active()
+    return PipelineModel.load(path) if exists(spark, path) else None

@@ -22,7 +22,7 @@ def test_row_numbers_of_hot_keys(spark):
         (F.col("id") % 7).alias("t"), F.col("id"))
     order = [F.col("t").desc(), F.col("id")]
     expected = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*order)).cast("long"))
-    got = add_row_number(df, ["k"], order, "rn", hot_rows=100)
+    got = add_row_number(df, ["k"], order, "rn")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, expected.collect()), key=str)
 
 
@@ -39,14 +39,23 @@ def test_pages_partition_the_inbox(tables):
     assert ids == expected
 
 
-def test_deep_pages_equal_shallow_ones(tables, monkeypatch):
+def test_pages_of_users_are_ordered(tables):
     items = inbox.search_inbox(tables[0], tables[1])
-    for by in ("user_id", None):
-        shallow = {r.email_id for r in inbox.inbox_page(items, 2, 20, by=by).collect()}
-        with monkeypatch.context() as m:
-            m.setattr(inbox, "SHALLOW_RANK", 0)
-            deep = {r.email_id for r in inbox.inbox_page(items, 2, 20, by=by, hot_rows=50).collect()}
-        assert deep == shallow and shallow
+    rows = [(r.user_id, r.received_at, r.email_id) for r in inbox.inbox_page(items, 2, 2).collect()]
+    every = sorted(((r.user_id, r.received_at, r.email_id) for r in items.collect()), key=lambda r: (r[0], -r[1].timestamp(), r[2]))
+    by_user = {}
+    for row in every:
+        by_user.setdefault(row[0], []).append(row)
+    assert rows == [row for user in sorted(by_user) for row in by_user[user][2:4]] != []
+
+
+def test_queue_and_categories_are_per_user(tables):
+    items = inbox.search_inbox(tables[0], tables[1])
+    queue = inbox.action_queue(items, 2).collect()
+    assert max(sum(r.user_id == u for r in queue) for u in {r.user_id for r in queue}) == 2
+    assert {r.user_id for r in queue} == {r.user_id for r in items.filter("action_required").select("user_id").distinct().collect()}
+    top = analytics.top_categories(tables[0], tables[1], 1).collect()
+    assert len(top) == len({r.user_id for r in top}) == tables[0].join(tables[1], "email_id").select("user_id").distinct().count()
 
 
 def test_shallow_page_plan_limits_before_the_exchange(tables):

@@ -41,16 +41,11 @@ def test_intent_words_are_necessary_and_sufficient_for_literals(data):
         assert not set(".*|") & set(alternative)
 
 
-def test_both_scanners_agree(monkeypatch):
-    import sys
-
+def test_the_scan_finds_the_words():
     import pandas as pd
 
     texts = pd.Series(["Please confirm ASAP", "", None, "İnterview ſcheduled", "$5 by 10:00 am", "é" * 50])
-    scan = words._scanner(words.WORDS, words.BITS, words.FIELDS)
-    fast = scan(texts)
-    monkeypatch.setitem(sys.modules, "ahocorasick", None)
-    assert fast.equals(scan(texts))
-    for row, text in zip(fast.itertuples(index=False), texts):
+    found = words._scanner(words.WORDS, words.BITS, words.FIELDS)(texts)
+    for row, text in zip(found.itertuples(index=False), texts):
         mask = sum(getattr(row, f"lower{i}") << (words.BITS * i) for i in range(words.FIELDS))
         assert [w for n, w in enumerate(words.WORDS) if mask >> n & 1] == [w for w in words.WORDS if w in (text or "").lower()]

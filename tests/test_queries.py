@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from postmill.plans import catalog, oracle
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ROWS_ONLY = {"model_predictions", "stream_ingest"}
+ROWS_ONLY = {"model_predictions"}
 
 
 @pytest.fixture(scope="module")
@@ -19,15 +20,16 @@ def sql():
 
 
 def test_all_have_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(catalog.QUERIES) - set(oracle.SQL) == ROWS_ONLY
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(oracle.SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - ROWS_ONLY))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - ROWS_ONLY))
 def test_query(spark, sql, name):
-    df = entry.queries()[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(repr([row[c] for c in columns]) for row in df.collect())
-    result = sql.execute(entry.oracle_sql()[name])
+    result = sql.execute(oracle.SQL[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     assert got == sorted(repr([row[names.index(c)] for c in columns]) for row in result.fetchall())
