@@ -29,9 +29,9 @@ from postmill.session import written
 LENGTH, GRAM = 100, 32
 GRAMS = LENGTH - GRAM + 1
 #: Bytes handled at once in a task; longer texts are handled in overlapping pieces.
-PIECE = 2_000_000
+PIECE = 150_000
 #: Suffixes sorted at once in a bucket.
-SORTED_AT_ONCE = 60_000
+SORTED_AT_ONCE = 20_000
 SAMPLE, BUCKETS_PER_TASK = 50_000, 4
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _PLACE = np.uint64((1 << 26) - 1)
@@ -45,19 +45,26 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def _words(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
     """The eight bytes from each position on as one number."""
+    data = np.ascontiguousarray(data)
     n = data.size - 7
     out = np.empty(n, np.uint64)
     for r in range(min(8, n)):
-        m = (data.size - r) // 8
-        out[r::8] = np.frombuffer(data[r : r + 8 * m].tobytes(), kind)[: len(out[r::8])]
+        out[r::8] = np.frombuffer(data, kind, (n - r + 7) // 8, r)
     return out
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    h = _mixed(_words(data))
-    h = h[:-8] * _M[0] + h[8:]
-    h = _mixed(h)
-    return _mixed(h[:-16] * _M[1] + h[16:])
+    """Hash of the 32 bytes from each position on."""
+    h = _words(data)
+    h *= _M[0]
+    h ^= h >> np.uint64(29)
+    h = h[:-8] * _M[1] + h[8:]
+    h ^= h >> np.uint64(31)
+    h = h[:-16] * _M[2] + h[16:]
+    h ^= h >> np.uint64(30)
+    h *= _M[3]
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def anchored(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -137,12 +144,32 @@ def _taken(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[n
     return data[index], offsets
 
 
-def _matrix(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
-    """Stretches as rows of big-endian words, padded with zeros to ``width`` bytes."""
-    index = starts[:, None] + np.arange(width)
-    inside = np.arange(width) < lengths[:, None]
-    out = np.where(inside, data[np.minimum(index, data.size - 1)], 0).astype(np.uint8)
-    return np.ascontiguousarray(out).view(">u8").astype(np.uint64)
+def _matrix(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+    """Stretches as rows of big-endian words, padded with zeros to ``width`` bytes; ``words`` are those of every position."""
+    at = np.arange(0, width, 8)
+    out = words[np.minimum(starts[:, None] + at, words.size - 1)]
+    over = (8 * np.clip(at + 8 - lengths[:, None], 0, 8)).astype(np.uint64)
+    half = over // np.uint64(2)  # a shift by 64 has no meaning, two by 32 have
+    return out >> half >> (over - half) << half << (over - half)
+
+
+def _sorted(words: np.ndarray, leading: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of stretches by their leading words, equal stretches together, and their groups.
+
+    Behind the leading words a fingerprint stands for the others; equality is
+    then checked on all words, and should two stretches share a fingerprint
+    only, all words are sorted.
+    """
+    mark = np.zeros(len(words), np.uint64)
+    for column in words.T[leading:]:
+        mark = (mark ^ column) * _M[4]
+        mark ^= mark >> np.uint64(29)
+    order, group = multikey_order(np.concatenate([words[:, :leading], mark[:, None]], axis=1))
+    if len(order) > 1:
+        same = np.flatnonzero(np.diff(group) == 0)
+        if (words[order[same]] != words[order[same + 1]]).any():
+            return multikey_order(words)
+    return order, group
 
 
 def _first_of(group: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -163,10 +190,11 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, anch
     size = np.diff(offsets)
     begin = offsets[:-1]
     right = size - left
+    every = _words(np.append(data, np.zeros(8, np.uint8)), ">u8")
     words = np.concatenate([
-        _matrix(data, begin + left, right, 104), _matrix(data, begin, left, 72), (right * 256 + left).astype(np.uint64)[:, None],
+        _matrix(every, begin + left, right, 104), _matrix(every, begin, left, 72), (right * 256 + left).astype(np.uint64)[:, None],
     ], axis=1)
-    order, group = multikey_order(words)
+    order, group = _sorted(words, GRAM // 8)
     first = _first_of(group, ids[order], anchor[order])
     same = (ids[order] == ids[order][first]) & (anchor[order] == anchor[order][first])
     later = order[~same]
@@ -189,7 +217,7 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, anch
         where, start = begin[rows] + step, at0[rows] + step
         for lo, hi in _chunks(several, rows, words):
             r, s = rows[lo:hi], start[lo:hi]
-            o, g = multikey_order(_matrix(data, where[lo:hi], np.full(hi - lo, LENGTH), 104))
+            o, g = _sorted(_matrix(every, where[lo:hi], np.full(hi - lo, LENGTH), 104), 1)
             f = _first_of(g, ids[r][o], s[o])
             again = ~((ids[r][o] == ids[r][o][f]) & (s[o] == s[o][f]))
             hit = np.sort(o[again])
