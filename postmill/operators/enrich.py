@@ -132,7 +132,8 @@ def enrich_rows(
 ) -> DataFrame:
     """Emails with every analysis column and the ``entities`` array.
 
-    Everything but the optional sentiment happens inside the row: no shuffle.
+    Everything happens inside the row: no shuffle.  Only the sentiment by a
+    large lexicon joins words; without a lexicon all mail is neutral.
     ``classify`` adds ``category_name``, ``slug`` and ``category_confidence``
     from ``classification_text``; the default is the keyword classifier.
     """

@@ -290,10 +290,10 @@ def priority_factor_totals(spark, folder):
 
 @query
 def enriched_analysis(spark, folder):
-    analysis, _ = enrich.enrich_emails(src.emails(spark, folder), AS_OF)
+    analysis, _ = enrich.enrich_emails(src.emails(spark, folder), AS_OF, lexicon=src.lexicon(spark))
     rows = analysis.select(
         "email_id", "category_name", "category_confidence", "intent", "priority_score", "priority_level",
-        "urgency_level", "action_required", "sentiment", "deadline_text", "deadline_datetime",
+        "urgency_level", "action_required", "sentiment", "sentiment_score", "deadline_text", "deadline_datetime",
         F.array_join("key_points", "|||").alias("key_points"),
         F.array_join("ai_explanation", "|||").alias("ai_explanation"),
     )
@@ -398,7 +398,7 @@ def model_predictions(spark, folder):
     """Rows only: the optimizer's path is not expressible in SQL."""
     split = evaluate.stratified_split(src.labelled(spark, folder), "doc_id")
     train, test = split.filter(F.col("part") != "test"), split.filter(F.col("part") == "test")
-    model = training.fit_candidate("logistic_regression", train.select("text", "label"), 5000)
+    model = training.fit_candidate("logistic_regression", train.select("text", "label"))
     return training.predict(model, test.select("doc_id", "text", "label")).select("doc_id", "label", "prediction")
 
 
@@ -576,9 +576,9 @@ def stream_ingest(spark, folder):
     out = _run_folder(spark)
     src.incoming(spark, folder).write.parquet(f"{out}/in")
     ingest.start_ingest(
-        spark, f"{out}/in", f"{out}/mail", f"{out}/checkpoint", src.users(spark, folder), lambda: AS_OF
+        spark, f"{out}/in", f"{out}/mail", f"{out}/checkpoint", src.users(spark, folder), lambda: AS_OF, lexicon=src.lexicon(spark)
     ).awaitTermination()
     drafts = ingest.latest(spark, f"{out}/mail", "replies").select("email_id", F.md5("current_content").alias("draft_md5"))
     return ingest.latest_analysis(spark, f"{out}/mail").select(
-        "email_id", "category_name", "intent", "priority_score", "priority_level", "action_required"
+        "email_id", "category_name", "intent", "priority_score", "priority_level", "action_required", "sentiment"
     ).join(drafts, "email_id")

@@ -291,12 +291,17 @@ INTENT = f"{LOWERED}, intended AS (SELECT *, {intent_sql('t', 'slug')} AS intent
 add("intent", f"WITH {INTENT} SELECT email_id, intent FROM intended")
 add("intent_distribution", f"WITH {INTENT} SELECT intent, count(*) AS count FROM intended GROUP BY 1")
 
-add("sentiment_band", f"""WITH {EMAILS}, lexicon(word, valence) AS ({values(src.LEXICON)}),
-word AS (SELECT email_id, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}_'']+')) AS word FROM emails),
-total AS (SELECT email_id, CAST(sum(CAST(valence AS DECIMAL(18, 6))) AS DOUBLE) AS s FROM word JOIN lexicon USING (word) GROUP BY 1),
-score AS (SELECT e.email_id, coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15.0) AS c FROM emails e LEFT JOIN total USING (email_id))
-SELECT email_id, CASE WHEN c >= 0.05 THEN 'positive' WHEN c <= -0.05 THEN 'negative' ELSE 'neutral' END AS sentiment,
-  {fixed('c', 4)} AS sentiment_score FROM score""")
+_valence = "CASE w " + " ".join(f"WHEN {q(w)} THEN CAST({v} AS DECIMAL(18, 6))" for w, v in src.LEXICON) + " ELSE 0 END"
+
+
+def toned(source: str) -> str:
+    """Tables ``total`` and ``tone`` (compound score ``c`` of each row) of a table of emails."""
+    return f"""total AS (SELECT *, coalesce(CAST(list_sum(list_transform(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}_'']+'), lambda w: {_valence})) AS DOUBLE), 0) AS tone_sum
+  FROM {source}), tone AS (SELECT *, tone_sum / sqrt(tone_sum * tone_sum + 15.0) AS c FROM total)"""
+
+
+TONE = "CASE WHEN c >= 0.05 THEN 'positive' WHEN c <= -0.05 THEN 'negative' ELSE 'neutral' END"
+add("sentiment_band", f"WITH {EMAILS}, {toned('emails')} SELECT email_id, {TONE} AS sentiment, {fixed('c', 4)} AS sentiment_score FROM tone")
 add("explanation_counts", f"""WITH {PHRASE}, {ANALYSIS} SELECT item, count(*) AS count FROM (
   SELECT unnest(string_split(ai_explanation, '|||')) AS item FROM analysis) WHERE trim(item) <> '' GROUP BY 1""")
 
@@ -419,8 +424,7 @@ terms AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i:
 tf AS (SELECT doc_id, term, count(*) AS n FROM terms GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS documents, CAST(sum(n) AS BIGINT) AS total FROM tf GROUP BY 1)"""
 add("document_frequency", f"WITH {TERMS} SELECT term, documents, total FROM df")
-add("tfidf_top_terms", f"""WITH {TERMS}, vocabulary AS (SELECT * FROM df ORDER BY total DESC, term LIMIT 50000),
-raw AS (SELECT doc_id, term, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + v.documents)) + 1) AS r FROM tf JOIN vocabulary v USING (term)),
+add("tfidf_top_terms", f"""WITH {TERMS}, raw AS (SELECT doc_id, term, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + v.documents)) + 1) AS r FROM tf JOIN df v USING (term)),
 norm AS (SELECT doc_id, sqrt(sum(r * r)) AS z FROM raw GROUP BY 1)
 SELECT term, round(sum(r / z), 6) AS weight, count(*) AS documents FROM raw JOIN norm USING (doc_id) GROUP BY term ORDER BY weight DESC, term LIMIT 50""")
 
@@ -475,11 +479,14 @@ dated AS (SELECT *, list_filter(entities, lambda e: e.t = 'DATE')[1].x AS d, lis
 known AS (SELECT *, coalesce(relative_text, CASE WHEN d IS NOT NULL AND m IS NOT NULL THEN d || ' at ' || m ELSE coalesce(d, m) END) AS deadline_text,
   {intent_sql('t', 'slug')} AS intent, date_diff('microsecond', {AS_OF}, deadline_datetime) / 3600000000 AS hours FROM dated),
 {priority_sql('known', True)}"""
-add("enriched_analysis", f"""WITH {ENRICHED} SELECT email_id, k_name AS category_name, k_confidence AS category_confidence, intent, priority_score, priority_level,
-  urgency_level, action_required, 'neutral' AS sentiment, deadline_text, {stamp('deadline_datetime')} AS deadline_datetime,
+add("enriched_analysis", f"""WITH {ENRICHED}, {toned('scored')} SELECT email_id, k_name AS category_name, k_confidence AS category_confidence, intent,
+  priority_score, priority_level, urgency_level, action_required, {TONE} AS sentiment, {fixed('c', 4)} AS sentiment_score,
+  deadline_text, {stamp('deadline_datetime')} AS deadline_datetime,
   concat_ws('|||', CASE WHEN intent <> 'General Information' THEN 'Email intent: ' || intent END,
     CASE WHEN deadline_text <> '' THEN 'Key deadline/time: ' || deadline_text END,
-    CASE WHEN action_required THEN 'Action is required from the recipient' END) AS key_points, ai_explanation FROM scored""")
+    CASE WHEN action_required THEN 'Action is required from the recipient' END,
+    CASE {TONE} WHEN 'negative' THEN 'Email carries a negative or urgent tone' WHEN 'positive' THEN 'Email has a positive tone' END) AS key_points,
+  ai_explanation FROM tone""")
 _persona = case_of("slug", rules.PERSONAS, q(rules.PERSONAS["other"]))
 _strategies = case_of("strategy", rules.STRATEGIES)
 add("prompt_table", f"""WITH {ENRICHED}, {request_sql('scored')}, s AS (SELECT *, {strategy_sql('intent')} AS strategy FROM requested)
@@ -543,5 +550,5 @@ INGESTED = ENRICHED.replace(EMAILS, f"""{CHECKED}, emails AS MATERIALIZED (
 add("stream_ingest", f"""WITH {INGESTED}, {request_sql('scored')}, drafted AS (SELECT *, replace(replace({_template}, '{{sender}}', {q(rules.UNKNOWN_SENDER)}), {q(rules.FOLLOW_UP)},
     CASE WHEN requested_action IS NOT NULL THEN {q(rules.ACTION_SENTENCE[0])} || lower(requested_action) || {q(rules.ACTION_SENTENCE[1])}
          WHEN deadline_text <> '' THEN {q(rules.DEADLINE_SENTENCE[0])} || deadline_text || {q(rules.DEADLINE_SENTENCE[1])} ELSE {q(rules.FOLLOW_UP)} END) AS draft
-    FROM requested)
-  SELECT email_id, k_name AS category_name, intent, priority_score, priority_level, action_required, md5(draft) AS draft_md5 FROM drafted""")
+    FROM requested), {toned('drafted')}
+  SELECT email_id, k_name AS category_name, intent, priority_score, priority_level, action_required, {TONE} AS sentiment, md5(draft) AS draft_md5 FROM tone""")
