@@ -45,10 +45,15 @@ def inbox_summary(emails: DataFrame, analysis: DataFrame, replies: DataFrame) ->
 
 
 def trend_daily_volume(emails: DataFrame, as_of: datetime | Column, period: int = 30) -> DataFrame:
-    """Emails per user and day in the last ``period`` days, analyzed or not."""
+    """Emails per user and day in the last ``period`` days, analyzed or not.
+
+    Of a table partitioned by ``received_date`` only those days are read.
+    """
     if not 7 <= period <= 365:
         raise ValueError("period must be between 7 and 365 days")
     since = moment(as_of) - F.expr(f"INTERVAL {int(period)} DAYS")
+    if "received_date" in emails.columns:
+        emails = emails.filter(F.col("received_date") >= F.to_date(since))
     return (
         emails.filter(F.col("received_at") >= since)
         .groupBy(USER, F.date_format("received_at", "yyyy-MM-dd").alias("date"))

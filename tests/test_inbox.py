@@ -118,3 +118,14 @@ def test_insights(spark):
         ("AI has generated replies for 50% of your analyzed emails.", "info")]
     assert [r.insight for r in rows if r.user_id == "w"] == ["Your inbox average priority is 0.0/100 — mostly low-priority content."]
     assert [r.insight for r in rows if r.user_id == "z"] == ["No emails analyzed yet. Add emails to see insights."]
+
+
+def test_trend_reads_only_its_days(spark, tables, tmp_path):
+    from postmill.sources.sinks import write_by_day
+
+    write_by_day(tables[0], str(tmp_path / "mail"))
+    days = spark.read.parquet(str(tmp_path / "mail"))
+    trend = analytics.trend_daily_volume(days, AS_OF, 7)
+    plan = trend._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(received_date" in plan and "(received_date" in plan.split("PartitionFilters")[1]
+    assert sorted(map(tuple, trend.collect())) == sorted(map(tuple, analytics.trend_daily_volume(tables[0], AS_OF, 7).collect()))
