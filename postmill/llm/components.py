@@ -14,6 +14,13 @@ def _towards_smallest(edges: DataFrame, by: str, other: str) -> DataFrame:
     return edges.join(written(low, "stars"), by).withColumn("low", F.least("low", by))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, which itself has none: then stars are components."""
+    several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    chained = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+    return several.isEmpty() and chained.isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """``node, component`` of every linked node; the component is its smallest node.
 
@@ -25,7 +32,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int | None
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = written(edges, "links")
-    mark, turn = None, 0
+    turn = 0
     while turn != rounds:
         turn += 1
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
@@ -34,12 +41,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int | None
         small = _towards_smallest(large, "u", "v")
         small = small.select("u", F.col("low").alias("v")).union(small.select(F.col("v"), F.col("low")).toDF("u", "v"))
         edges = written(small.where("u <> v").distinct(), "links")
-        if rounds:
-            continue
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        if not rounds and _are_stars(edges):
             break
-        mark = now
     rows = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     rows = rows.union(rows.select("component", "component").distinct().toDF("node", "component"))
     return rows.groupBy("node").agg(F.min("component").alias("component")) if rounds else rows

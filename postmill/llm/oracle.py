@@ -3,7 +3,45 @@
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_TWO = "('ac.uk', 'co.in', 'co.jp', 'co.kr', 'co.nz', 'co.uk', 'co.za', 'com.ar', 'com.au', 'com.br', 'com.cn', 'com.mx', 'com.tr', 'gov.uk', 'org.uk')"
+
+
+def _last(n: int) -> str:
+    return f"array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
+
+
+def _level(name: str, key: str, parent: str, mean: str) -> str:
+    """Counts of a level, the weight of its prior, and the posterior."""
+    return f"""{name}_n AS (SELECT {key}, {mean} AS mean, sum(n) AS n, sum(bad) AS bad FROM counts{parent} GROUP BY ALL),
+        {name}_w AS (SELECT CASE WHEN coalesce(sum(mean * (1 - mean) * (n - 1)), 0) = 0 THEN 1e6 ELSE
+            1 / least(greatest((sum(n * pow(bad / n - mean, 2)) - sum(mean * (1 - mean))) / sum(mean * (1 - mean) * (n - 1)), 1e-6), 0.999) - 1 END AS w
+          FROM {name}_n WHERE n > 0),
+        {name} AS (SELECT {key}, mean * w + bad AS a, (1 - mean) * w + n - bad AS b, (mean * w + bad) / (w + n) AS rate FROM {name}_n, {name}_w)"""
+
+
 SQL = {
+    "op3_url_filter": f"""
+        WITH outcome AS (
+            SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NOT NULL AND quality IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY doc_id
+        ), page AS (
+            SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), {_LOWER}), '') AS host,
+                   coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+        ), counts AS (
+            SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad,
+                   CASE WHEN {_last(2)} IN {_TWO} THEN {_last(3)} ELSE {_last(2)} END AS domain,
+                   CASE WHEN {_last(2)} IN {_TWO} THEN {_last(2)} ELSE {_last(1)} END AS suffix
+            FROM page LEFT JOIN outcome ON doc_id = page_id GROUP BY host
+        ), top AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS mean FROM counts),
+        {_level("s", "suffix", ", top", "top.mean")},
+        {_level("d", "domain", " JOIN s USING (suffix)", "s.rate")},
+        {_level("h", "host", " JOIN d USING (domain)", "d.rate")},
+        rules(rule, name, start, verdict) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+            ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+        ruled AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+            FROM page JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id)
+        SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN rate - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM page LEFT JOIN ruled USING (page_id) JOIN h USING (host)
+    """,
     "op1_line_dedup": f"""
         WITH lines AS (
             SELECT row_id, doc_id, line, n, translate(trim(line, {_BLANKS}), {_LOWER}) AS key
