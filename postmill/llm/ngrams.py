@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from postmill.llm.components import components
@@ -211,6 +212,36 @@ def _needed(threshold: int) -> str:
     return f"(ceil({threshold} * (n_a + n_b) / {100 + threshold}) - greatest(ceil({threshold} * n_a / 100), ceil({threshold} * n_b / 100)) + 1)"
 
 
+def _pairs_across(here: DataFrame, threshold: int) -> DataFrame:
+    """Pairs ``a, b`` of different components that share enough keys of ``here`` (``key, node, n, own``).
+
+    A near pair shares a needed number of single keys.  Let every set order its
+    keys by the length of their lists: the first key that the pair shares then
+    has that many keys of either set at or behind it.  So long lists are joined
+    only for the few sets in which they come early enough.
+    """
+    single = here.where("key & 1 = 0")
+    length = single.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
+    own_order = W.partitionBy("node").orderBy("length", "key")
+    single = single.join(written(length, "lengths"), "key").withColumns(
+        {"behind": F.count(F.lit(1)).over(W.partitionBy("node")) - F.row_number().over(own_order) + 1})
+    single = written(single, "single-keys")
+
+    def side(df: DataFrame, x: str, *more: str) -> DataFrame:
+        return df.select("key", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "own", *more)))
+
+    apart = f"a < b AND own_a <> own_b AND 100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)"
+    early = f"{apart} AND least(behind_a, behind_b) >= {_needed(threshold)}"
+    found = side(single, "a", "behind").join(side(single, "b", "behind"), "key").where(early).select("a", "b", "n_a", "n_b").distinct()
+    keys = single.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    for x in "ab":
+        found = found.join(keys.select(F.col("node").alias(x), F.col("keys").alias(f"keys_{x}")), x)
+    found = found.where(f"size(array_intersect(keys_a, keys_b)) >= {_needed(threshold)}").select("a", "b")
+    double = here.where("key & 1 = 1")
+    light = side(double, "a").join(side(double, "b"), "key").where(apart).select("a", "b")
+    return found.unionByName(light).distinct()
+
+
 def _enough(threshold: int):
     """Whether a pair shares enough single keys; pair keys are always worth a comparison."""
     return F.expr(f"light OR common >= {_needed(threshold)}")
@@ -268,15 +299,7 @@ def near_sets(docs: DataFrame, width: int = 3, threshold: int = 90, id_col: str
             pairs = pairs.withColumn("light", F.col("bit") == 1).where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, least_b)").where(_enough(threshold))
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("common", F.xxhash64("b"))).alias("b"))
         else:
-            # a pair cannot share more single keys than either has left: that alone settles most pairs of a large list
-            left = here.groupBy("node").agg(F.sum(F.expr("1 - (key & 1)")).alias("left"))
-            here = here.join(written(left, "left"), "node")
-            a, b = (here.select("key", *(F.col(c).alias(f"{new}_{x}") for c, new in (("node", "id"), ("n", "n"), ("own", "own"), ("left", "left")))) for x in "ab")
-            fits = f"""id_a < id_b AND own_a <> own_b AND 100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)
-                       AND (key & 1 = 1 OR least(left_a, left_b) >= {_needed(threshold)})"""
-            pairs = a.join(b, "key").where(fits).withColumnsRenamed({"id_a": "a", "id_b": "b"})
-            pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"), F.max(F.expr("key & 1")).alias("bit"))
-            pairs = pairs.withColumn("light", F.col("bit") == 1).where(_enough(threshold)).select("a", "b").distinct()
+            pairs = _pairs_across(here, threshold)
         new = _verified(written(pairs.select("a", "b"), "pairs"), docs, threshold, width)
         if new.isEmpty():
             continue
