@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import rules
 from ..functions.entities import moment
 from ..functions.text import round_exact
 
@@ -162,29 +163,31 @@ def inbox_insights(
     if users is not None:
         per_user = users.select(USER).join(per_user, USER, "left")
 
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    def filled(sentence: str, **values: Column) -> Column:
+        out = F.lit(sentence)
+        for name, value in values.items():
+            out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
+        return out
+
     row = lambda kind, sentence: F.struct(sentence.alias("insight"), F.lit(kind).alias("type"))
+    counted = lambda forms, n: F.when(n > 1, filled(forms[1], n=n)).otherwise(filled(forms[0], n=n))
     mean = round_exact(F.coalesce("mean", F.lit(0.0)), 1)
     share = _percent(-F.col("frequent.n"), F.col("joined"))
     rate = round_exact(F.col("replies") / F.nullif("analyzed", F.lit(0)) * 100, 0).cast("long")
+    best = round_exact(F.coalesce("important._mean", F.lit(0.0)), 1)
     action, high = F.col("action"), F.col("high")
     sentences = F.array_compact(F.array(
-        F.when(action > 0, row("warning", text(
-            action, " email", F.when(action > 1, "s").otherwise(""), " currently require your response."))),
-        F.when(high > 0, row("warning", text(
-            high, " high-priority email", F.when(high > 1, "s are").otherwise(" is"), " in your inbox."))),
-        F.when(F.col("frequent").isNotNull(), row("info", text(
-            "'", F.col("frequent.category"), "' is your most frequent email category (", share, "% of inbox)."))),
-        F.when(F.col("important").isNotNull(), row("info", text(
-            "'", F.col("important.category"), "' emails have the highest average priority score (",
-            round_exact(F.coalesce("important._mean", F.lit(0.0)), 1), "/100)."))),
-        F.when(mean > 65, row("warning", text("Your inbox average priority is ", mean, "/100 — above normal.")))
-        .when(mean < 35, row("info", text(
-            "Your inbox average priority is ", mean, "/100 — mostly low-priority content."))),
-        F.when(F.col("analyzed") > 0, row("info", text(
-            "AI has generated replies for ", rate, "% of your analyzed emails."))),
+        F.when(action > 0, row("warning", counted(rules.INSIGHT_ACTION, action))),
+        F.when(high > 0, row("warning", counted(rules.INSIGHT_HIGH, high))),
+        F.when(F.col("frequent").isNotNull(), row("info", filled(
+            rules.INSIGHT_FREQUENT, share=share, category=F.col("frequent.category")))),
+        F.when(F.col("important").isNotNull(), row("info", filled(
+            rules.INSIGHT_IMPORTANT, mean=best, category=F.col("important.category")))),
+        F.when(mean > 65, row("warning", filled(rules.INSIGHT_ABOVE, mean=mean)))
+        .when(mean < 35, row("info", filled(rules.INSIGHT_BELOW, mean=mean))),
+        F.when(F.col("analyzed") > 0, row("info", filled(rules.INSIGHT_REPLIES, rate=rate))),
     ))
-    nothing = F.array(row("info", F.lit("No emails analyzed yet. Add emails to see insights.")))
+    nothing = F.array(row("info", F.lit(rules.INSIGHT_NOTHING)))
     return per_user.select(
         USER, F.posexplode(F.when(F.col("total") > 0, sentences).otherwise(nothing)).alias("_seq", "_row")
     ).select(USER, (F.col("_seq") + 1).alias("seq"), "_row.insight", "_row.type")

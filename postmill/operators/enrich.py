@@ -113,13 +113,13 @@ def key_points(entities: Column) -> Column:
         return F.when(F.size(names) > 0, F.concat(F.lit(label), F.array_join(names, ", ")))
 
     return F.array_compact(F.array(
-        F.when(F.col("intent") != rules.DEFAULT_INTENT, F.concat(F.lit("Email intent: "), "intent")),
-        F.when(F.col("deadline_text") != "", F.concat(F.lit("Key deadline/time: "), "deadline_text")),
-        F.when(F.col("action_required"), F.lit("Action is required from the recipient")),
-        F.when(F.col("sentiment") == "negative", F.lit("Email carries a negative or urgent tone")),
-        F.when(F.col("sentiment") == "positive", F.lit("Email has a positive tone")),
-        mentioned("ORG", "Organization mentioned: "),
-        mentioned("PERSON", "Person mentioned: "),
+        F.when(F.col("intent") != rules.DEFAULT_INTENT, F.concat(F.lit(rules.POINT_INTENT), "intent")),
+        F.when(F.col("deadline_text") != "", F.concat(F.lit(rules.POINT_DEADLINE), "deadline_text")),
+        F.when(F.col("action_required"), F.lit(rules.POINT_ACTION)),
+        F.when(F.col("sentiment") == "negative", F.lit(rules.POINT_NEGATIVE)),
+        F.when(F.col("sentiment") == "positive", F.lit(rules.POINT_POSITIVE)),
+        mentioned("ORG", rules.POINT_ORGANIZATION),
+        mentioned("PERSON", rules.POINT_PERSON),
     ))
 
 
