@@ -116,7 +116,7 @@ def _summed(items: DataFrame, parts, width: int) -> np.ndarray:
             yield pd.DataFrame([(last, total.tobytes())], columns=["bucket", "v"])
 
     schema = "bucket int, v binary"
-    out = np.zeros((BUCKETS, width))
+    out = np.zeros((BUCKETS, width), np.float32)
     for row in items.select("text").mapInPandas(make, schema).repartition("bucket").sortWithinPartitions("bucket").mapInPandas(add, schema).toLocalIterator():
         out[row["bucket"]] = np.frombuffer(row["v"])
     return out
@@ -125,7 +125,7 @@ def _summed(items: DataFrame, parts, width: int) -> np.ndarray:
 def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Right singular vectors of the items' TF-IDF passages: BUCKETS x rank, float32."""
     width = rank + OVERSAMPLE
-    test = np.random.default_rng(7).standard_normal((BUCKETS, width)).astype(np.float32)
+    test = np.random.default_rng(7).standard_normal((BUCKETS, width), np.float32)
     spark = items.sparkSession.sparkContext
     shared = spark.broadcast((test, idf))
 
@@ -135,7 +135,11 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndar
         y = x @ test[at]
         return [(int(a), v * y) for a, v in zip(at, x)]
 
-    basis = np.linalg.qr(_summed(items, range_part, width))[0].astype(np.float32)
+    sums = _summed(items, range_part, width)
+    held = np.flatnonzero(sums.any(axis=1))
+    found = np.linalg.qr(sums[held])[0]
+    basis = np.zeros((BUCKETS, width), np.float32)
+    basis[held, : found.shape[1]] = found
     wide = spark.broadcast((basis, idf))
 
     def gram_part(p: np.ndarray):
