@@ -6,10 +6,15 @@ passages) gives a latent space.  Every window of every document is projected
 into it and compared by cosine with all passages, block by block.  Candidates
 are then checked on the words themselves: longest common subsequence with the
 whole item, and the share of the item's rarest words (its answer) present.
+
+The more passages a benchmark has, the less of each the latent space keeps.
+Every leak holds enough words of the answer close together, so an index of the
+answers' words gives all stretches that can be one, whatever the space misses.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,6 +30,8 @@ BUCKETS, RANK, OVERSAMPLE = 1 << 16, 96, 10
 STEP = 16
 #: Passages compared in one pass over the documents; a larger benchmark takes more passes.
 BLOCK = 8192
+#: Pairs of a word and an item sorted at once.
+ENTRIES = 4_000_000
 _DROP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -165,17 +172,80 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def best_match(item: list[int], region: list[int]) -> tuple[int, int, int]:
-    """(length, start, words): the stretch of at most 1.3 times the item with the longest common subsequence."""
-    span = int(1.3 * len(item)) + 2
+def span_of(words: int) -> int:
+    """Words of the stretches that are compared with an item."""
+    return int(1.3 * words) + 2
+
+
+def best_match(item: list[int], region: list[int], answer: set[int] = frozenset(), least: int = 0) -> tuple[int, int, int]:
+    """(length, start, words): the stretch of at most 1.3 times the item with the longest common subsequence.
+
+    Only stretches with at least ``least`` words of ``answer`` count.
+    """
+    span = span_of(len(item))
     known, best = set(item), (0, 0, 0)
     for at in range(0, max(1, len(region) - span + max(1, len(item) // 8)), max(1, len(item) // 8)):
         part = region[at : at + span]
-        if sum(x in known for x in part) > best[0]:
+        if sum(x in known for x in part) > best[0] and (not least or len(answer.intersection(part)) >= least):
             best = max(best, (common_subsequence(item, part), at, len(part)), key=lambda x: x[0])
     return best
 
 
+def postings_of(items: list[tuple], min_common: float, min_answer: float) -> tuple[np.ndarray, ...]:
+    """Index of the items' answers: (first posting of each bucket, items of the postings, words needed of each item, span of each item).
+
+    Without a bound on the answer all words of an item are indexed.
+    """
+    by: list[tuple[int, int]] = []
+    need, span = [], []
+    for k, (_, words, answer) in enumerate(items):
+        by += [(w, k) for w in (answer if min_answer > 0 else set(words))]
+        need.append(max(1, math.ceil(min_answer * len(answer) if min_answer > 0 else min_common * len(words))))
+        span.append(span_of(len(words)))
+    bucket, of = np.array(sorted(by), np.int64).reshape(-1, 2).T
+    return np.searchsorted(bucket, np.arange(BUCKETS + 1)), of, np.array(need, np.int64), np.array(span, np.int64)
+
+
+def held_together(every: np.ndarray, doc: np.ndarray, first: np.ndarray, of: np.ndarray, need: np.ndarray, span: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, first word, last word): all places with as many indexed words of an item as it needs within its span.
+
+    ``doc`` is the document of each word; places closer than a span are one.
+    """
+    at = np.flatnonzero(first[every + 1] > first[every])
+    count = first[every[at] + 1] - first[every[at]]
+    total, most = int(count.sum()), int(of.max(initial=0))
+    if total > ENTRIES and most > (least := int(of.min())):
+        for part in (of <= (least + most) // 2, of > (least + most) // 2):
+            yield from held_together(every, doc, np.append(0, part.cumsum())[first], of[part], need, span)
+        return
+    within = np.arange(total) - np.repeat(np.append(0, count.cumsum()[:-1]), count) if total else np.zeros(0, np.int64)
+    key = np.sort(of[np.repeat(first[every[at]], count) + within] * every.size + np.repeat(at, count))
+    item, where = key // every.size, key % every.size
+    other = np.arange(total) + need[item] - 1
+    start = np.flatnonzero(other < total)
+    other = other[start]
+    start = start[(item[other] == item[start]) & (doc[where[other]] == doc[where[start]]) & (where[other] - where[start] < span[item[start]])]
+    item, where = item[start], where[start]
+    new = np.ones(start.size, bool)
+    new[1:] = (np.diff(item) != 0) | (np.diff(doc[where]) != 0) | (np.diff(where) > span[item[1:]])
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], start.size)[: heads.size] - 1
+    yield from zip(doc[where[heads]].tolist(), item[heads].tolist(), where[heads].tolist(), where[tails].tolist())
+
+
+def whole_cosine(words: list[int], ids: np.ndarray, start: int, end: int, squares: np.ndarray) -> float:
+    """Largest cosine, outside any latent space, of an item's passages with the windows over words ``start`` to ``end``."""
+    best = 0.0
+    for p in passages_of(np.array(words)):
+        at, n = np.unique(p, return_counts=True)
+        weight = dict(zip(at.tolist(), (n * squares[at]).tolist()))
+        length = math.sqrt(float((n * n * squares[at]).sum()))
+        for step in range(max(0, start // STEP - 1), -(-end // STEP)):
+            window = ids[step * STEP : (step + 2) * STEP]
+            best = max(best, sum(weight.get(x, 0.0) for x in window.tolist()) / (length * math.sqrt(float(squares[window].sum())) or 1.0))
+    return best
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     cosine: float = 0.25, min_common: float = 0.75, min_answer: float = 0.6, rank: int = RANK,
@@ -184,7 +254,10 @@ def find_leaks(
 
     ``common`` is the longest common subsequence within a stretch of the
     document (``first_word, words``) as a share of the item's words, ``answer``
-    the share of the item's rarest quarter of words found there.
+    the share of the item's rarest quarter of words found there.  ``cosine`` is
+    that of the window by which the pair was found; for pairs that the latent
+    space misses it is the cosine outside that space, which has to reach
+    ``cosine`` only for items shorter than a step.
 
     Null and empty texts and items without words match nothing.  Repeated
     documents and repeated items each give rows.  Ties between stretches go to
@@ -231,11 +304,12 @@ def _against(docs: DataFrame, block: list[tuple], lookup, space: np.ndarray, idf
             owners.append(k)
     q = np.array(queries, np.float32).reshape(-1, space.shape[1])
     rare = [ids[np.argsort(-idf[ids], kind="stable")[: max(3, len(ids) // 4)]] for _, ids in block]
-    shared = docs.sparkSession.sparkContext.broadcast((q.T.copy(), np.array(owners, int), [(i, ids.tolist(), set(r.tolist())) for (i, ids), r in zip(block, rare)]))
+    items = [(i, ids.tolist(), set(r.tolist())) for (i, ids), r in zip(block, rare)]
+    shared = docs.sparkSession.sparkContext.broadcast((q.T.copy(), np.array(owners, int), items, postings_of(items, min_common, min_answer)))
     names = [f.split()[0] for f in schema.split(", ")]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, owners, items = shared.value
+        q, owners, items, postings = shared.value
         table, used, squares = lookup.value
         known = _Ids()
         for b in batches:
@@ -250,12 +324,12 @@ def _against(docs: DataFrame, block: list[tuple], lookup, space: np.ndarray, idf
                     group.append((r, ids))
                     words += len(ids)
                 if group and (words > 60_000 or r == b.num_rows - 1):
-                    for row, found in _compare(group, q, owners, items, table, used, squares, cosine, min_common, min_answer):
+                    for row, found in _compare(group, q, owners, items, postings, table, used, squares, cosine, min_common, min_answer):
                         from_row.append(row)
                         out.append(found)
                     group, words = [], 0
             if group:
-                for row, found in _compare(group, q, owners, items, table, used, squares, cosine, min_common, min_answer):
+                for row, found in _compare(group, q, owners, items, postings, table, used, squares, cosine, min_common, min_answer):
                     from_row.append(row)
                     out.append(found)
             cols = list(zip(*out)) if out else [[]] * 6
@@ -266,7 +340,7 @@ def _against(docs: DataFrame, block: list[tuple], lookup, space: np.ndarray, idf
     return docs.mapInArrow(search, schema)
 
 
-def _compare(group, q, owners, items, table, used, squares, cosine, min_common, min_answer) -> Iterator[tuple[int, tuple]]:
+def _compare(group, q, owners, items, postings, table, used, squares, cosine, min_common, min_answer) -> Iterator[tuple[int, tuple]]:
     """Leaks in a group of documents: (row, (item, first_word, words, cosine, common, answer))."""
     if not q.shape[1]:
         return
@@ -309,5 +383,23 @@ def _compare(group, q, owners, items, table, used, squares, cosine, min_common,
         share = len(answer.intersection(region[start : start + span])) / len(answer)
         if share >= min_answer and ((doc, k) not in best or n / len(words) > best[doc, k][4]):
             best[doc, k] = (item, lo + start, span, float(near[w, h]), n / len(words), share)
+    begin = lengths.cumsum() - lengths
+    done = set(best)
+    for doc, k, low, high in held_together(every, np.repeat(np.arange(len(group)), lengths), *postings):
+        if (doc, k) in done:
+            continue
+        item, words, answer = items[k]
+        ids = group[doc][1]
+        lo = max(0, low - int(begin[doc]) - span_of(len(words)))
+        region = ids[lo : high - int(begin[doc]) + span_of(len(words))].tolist()
+        least = math.ceil(min_answer * len(answer))
+        if len(answer.intersection(region)) < least:
+            continue
+        n, start, span = best_match(words, region, answer, least)
+        if n < min_common * len(words) or (doc, k) in best and n / len(words) <= best[doc, k][4]:
+            continue
+        near_by = whole_cosine(words, ids, lo + start, lo + start + span, squares)
+        if len(words) >= STEP or near_by >= cosine:
+            best[doc, k] = (item, lo + start, span, near_by, n / len(words), len(answer.intersection(region[start : start + span])) / len(answer))
     for (doc, _), found in best.items():
         yield group[doc][0], found

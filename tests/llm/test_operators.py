@@ -298,6 +298,20 @@ def test_leaks(spark, docs, none):
     assert leaks.find_leaks(none, bench).collect() == [] and leaks.find_leaks(table, bench.limit(0)).collect() == []
 
 
+def test_leaks_of_a_large_benchmark(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "ENTRIES", 3000, raising=False)
+    rng = random.Random(11)
+    words = [a + b for a in WORDS for b in WORDS]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(12, 60)))) for i in range(3000)]
+    rows, truth = [], set()
+    for i in range(0, 3000, 5):
+        around = [" ".join(rng.choice(words) for _ in range(rng.randint(10, 60))) for _ in "ab"]
+        rows.append((i, f"{around[0]} {items[i][1]} {around[1]}", "en", "s", 0))
+        truth.add((i, i))
+    got = leaks.find_leaks(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == truth and all(r.common == r.answer == 1 for r in got)
+
+
 def test_common_subsequence():
     rng = random.Random(0)
     for _ in range(50):
