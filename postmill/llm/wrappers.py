@@ -42,6 +42,13 @@ MARKS = frozenset(
     "reply replies respond discussion disqus share sharing social related recommended breadcrumb breadcrumbs pagination pager widget toolbar "
     "masthead skip search complementary contentinfo topbar copyright".split()
 )
+#: Marks that are also topics: in an id, or on a section or paragraph, they name what the text is about.
+TOPICS = frozenset("side discussion search notice notices alert promotion advertising subscription copyright".split())
+#: Words that say where or in what form a marked element stands; a name of marks and these is a mark too.
+PLACES = frozenset("box bar list area wrapper wrap container block slot links link buttons button icons site page top bottom left right primary secondary".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Marks of an article element that is not the page's own.
+OTHERS = frozenset("comment comments ad ads advert related promo".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I | re.S)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -61,17 +68,28 @@ class Node:
         self.label, self.tag, self.kids = label, tag, []
 
 
+def _marked(name: str, marks: frozenset) -> bool:
+    """Whether a class or id as a whole is a mark; ``with-sidebar`` and ``side-effects`` are none."""
+    words = [w for w in _SPLIT.split(name) if w]
+    return any(w in marks for w in words) and all(w in marks or w in PLACES for w in words)
+
+
 def _label(tag: str, attributes: str) -> str:
-    """Tag, with ``!`` if class, id, role or hiding mark it as no article text, with ``*`` if as main text."""
+    """Tag, with ``!`` if class, id or role mark it as no article text, ``!!`` if it is hidden, ``*`` if it is main text."""
     if not attributes or not attributes.strip():
         return tag
-    mark = "!" if _HIDDEN.search(attributes) else ""
+    if _HIDDEN.search(attributes):
+        return tag + "!!"
+    mark = ""
     for m in _NAMES.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
-        words = set(_SPLIT.split(value))
-        if m[1].lower() == "role" and value == "main":
-            mark = mark or "*"
-        if words & MARKS and tag not in ("html", "body", "article", "main") or words & {"comment", "comments", "ad", "ads", "advert", "related", "promo"} and tag == "article":
+        kind = m[1].lower()
+        if kind == "role" and value.strip() == "main":
+            return tag + "*"
+        if tag in HEADINGS or tag in ("html", "body", "main"):
+            continue
+        marks = OTHERS if tag == "article" else MARKS - TOPICS if kind == "id" or kind == "class" and tag in ("section", "p") else MARKS
+        if any(_marked(name, marks) for name in value.split()):
             mark = "!"
     return tag + mark
 
@@ -242,24 +260,27 @@ def located(node: Node, wrapper: list, slots: list | None = None) -> list[tuple[
     return out
 
 
-#: Decisions on slots: article text, other text that varies, and all else.
+#: Decisions on slots: article text; other text that varies, or an article in a marked box; and all else.
 MAIN, LOOSE, NEVER = 2, 1, 0
+#: What leaves an element out: nothing, a mark (up to the next article or main element), its tag or being hidden.
+IN, MARKED, OUT = 0, 1, 2
 
 
-def decide(wrapper: list, outside: bool = False, main: bool = False, found: dict | None = None) -> dict[int, int]:
-    """Decision on every slot of a wrapper, by the identity of the slot."""
+def decide(wrapper: list, outside: int = IN, main: int = NEVER, found: dict | None = None) -> dict[int, int]:
+    """Decision on every slot of a wrapper, by the identity of the slot; ``main`` is that of article text here, if it is any."""
     found = {} if found is None else found
     for kid in wrapper[2]:
         label = kid[0]
         if label in (TEXT, LINK):
             low, high, n = kid[2] or (0, 1, 1)
             template = n > 2 and low == high or label == LINK
-            found[id(kid)] = NEVER if outside else MAIN if main else NEVER if template else LOOSE
+            found[id(kid)] = NEVER if outside else main if main else NEVER if template else LOOSE
             continue
         tag = label.rstrip("!*")
-        inside = main or tag in ("article", "main") or label.endswith("*")
-        off = outside or label.endswith("!") or tag in OUTSIDE or tag == "header" and not main
-        decide(kid, off, inside, found)
+        article = (tag in ("article", "main") or label.endswith("*")) and not label.endswith("!")
+        off = max(outside, OUT if label.endswith("!!") or tag in OUTSIDE or tag == "header" and not main else MARKED if label.endswith("!") else IN)
+        inside = (LOOSE if off == MARKED else main or MAIN) if article else main
+        decide(kid, IN if article and off == MARKED else off, inside, found)
     return found
 
 
@@ -329,8 +350,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
     and comments are left out.  If the page has an article or main element with
-    text, only that counts; otherwise all other slots that vary among the
-    host's pages.  White space in a block is one space; character references
+    text, only that counts; otherwise such elements in a box marked as something
+    else, and all other slots that vary among the host's pages.  White space in a block is one space; character references
     are decoded.
 
     Null or empty html gives an empty text.  Pages without a host share one

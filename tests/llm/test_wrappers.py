@@ -25,6 +25,26 @@ def test_article(spark):
     assert text_of(spark, *(FULL.format(i) for i in "abcd")) == [want.format(i) for i in "abcd"]
 
 
+@pytest.mark.parametrize("start, end", [
+    ('<section id="side-effects">', "</section>"), ('<section id="discussion">', "</section>"), ('<h2 id="search-methods">', "</h2>"),
+    ('<div class="full-side notice-period">', "</div>"), ('<h3 class="comments">', "</h3>"),
+])
+def test_names_of_topics_are_no_marks(spark, start, end):
+    assert text_of(spark, *(f"<article><p>a{i}</p>{start}b{i}{end}</article>" for i in range(4))) == [f"a{i}\nb{i}" for i in range(4)]
+
+
+@pytest.mark.parametrize("start", ['<div class="layout with-sidebar">', '<div class="sidebar">', '<div id="sidebar-right">', '<section class="comments">'])
+def test_marked_box_around_an_article(spark, start):
+    assert text_of(spark, *(f"{start}x{i}<article>a{i}</article></div>" for i in range(4))) == [f"a{i}" for i in range(4)]
+    pages = (f"<main>m{i}<div class='comments-area'><article class='comment'>c{i}</article></div></main>{start.replace('layout with-', '')}<article>a{i}</article></div>" for i in range(4))
+    assert [t.split("\n")[0] for t in text_of(spark, *pages)] == [f"m{i}" for i in range(4)]
+
+
+def test_marks_and_hiding_still_count(spark):
+    boxes = '<div class="ad-box">no</div><div class="left-sidebar">no</div><div hidden><article>no</article></div><aside><article>no</article></aside>'
+    assert text_of(spark, *(f"<article>a{i}{boxes}</article>" for i in range(4))) == [f"a{i}" for i in range(4)]
+
+
 def test_without_article_element_texts_that_vary_count(spark):
     page = "<body><div>Welcome to the site</div><div class=post><h2>Head {0}</h2><p>Words {0}</p></div><p><a href=x>All posts {0}</a></p></body>"
     assert text_of(spark, *(page.format(i) for i in range(4))) == [f"Head {i}\nWords {i}" for i in range(4)]
