@@ -54,6 +54,8 @@ _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 TEXT, LINK = "#", "#a"
+#: Distinct pages on which a slot without other texts is a template's; copies of a page count once.
+PAGES = 3
 #: An element closed by another one that begins in the same parent.
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": set()}
@@ -166,7 +168,7 @@ def parse(page: str | None) -> Node:
 
 
 # A wrapper element is [label, flags, children] with flags "?" (optional) and "+" (repeated);
-# a slot is [label, flags, [smallest text hash, largest text hash, count]].
+# a slot is [label, flags, [smallest text hash, largest text hash, hashes of up to PAGES distinct pages]].
 
 
 def skeleton(node: Node) -> list:
@@ -210,7 +212,7 @@ def _merge(a: list, b: list) -> list:
     if a[0] in (TEXT, LINK):
         if a[2] is None or b[2] is None:
             return [a[0], flags, a[2] or b[2]]
-        return [a[0], flags, [min(a[2][0], b[2][0]), max(a[2][1], b[2][1]), a[2][2] + b[2][2]]]
+        return [a[0], flags, [min(a[2][0], b[2][0]), max(a[2][1], b[2][1]), sorted({*a[2][2], *b[2][2]})[:PAGES]]]
     return [a[0], flags, aligned(a[2], b[2])]
 
 
@@ -272,8 +274,8 @@ def decide(wrapper: list, outside: int = IN, main: int = NEVER, found: dict | No
     for kid in wrapper[2]:
         label = kid[0]
         if label in (TEXT, LINK):
-            low, high, n = kid[2] or (0, 1, 1)
-            template = n > 2 and low == high or label == LINK
+            low, high, pages = kid[2] or (0, 1, ())
+            template = len(pages) >= PAGES and low == high or label == LINK
             found[id(kid)] = NEVER if outside else main if main else NEVER if template else LOOSE
             continue
         tag = label.rstrip("!*")
@@ -300,30 +302,49 @@ def infer(pages: DataFrame, partial_groups: int = 16) -> DataFrame:
     """``host, wrapper`` (JSON) from pages ``host, html``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[tuple, dict[int, list]] = {}
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            keys = [(host, shape, slot, *found) for (host, shape), slots in by.items() for slot, found in slots.items()]
+            cols = list(zip(*keys)) if keys else [[]] * 6
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["host", "shape", "slot", "low", "high", "pages"])
+
         for b in batches:
-            hosts, shapes, numbers, prints = [], [], [], []
             for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
                 tree = parse(page)
                 shape = skeleton(tree)
                 order = {id(s): i for i, s in enumerate(_slots(shape))}
-                text = json.dumps(shape)
+                text, whole = json.dumps(shape), _hash(page)
+                slots = by.setdefault((host, text), {})
                 for slot, words in located(tree, shape) or [(None, "")]:
-                    hosts.append(host)
-                    shapes.append(text)
-                    numbers.append(order[id(slot)] if slot else -1)
-                    prints.append(_hash(words))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array(numbers, pa.int32()), pa.array(prints, pa.int64())], ["host", "shape", "slot", "text"])
-
-    slots = pages.mapInArrow(read, "host string, shape string, slot int, text long")
-    counted = slots.groupBy("host", "shape", "slot").agg(F.min("text").alias("low"), F.max("text").alias("high"), F.count(F.lit(1)).alias("n"))
-    shapes = counted.groupBy("host", "shape").agg(F.collect_list(F.struct("slot", "low", "high", "n")).alias("slots"))
+                    at, h = order[id(slot)] if slot else -1, _hash(words)
+                    known = slots.get(at)
+                    if known is None:
+                        slots[at] = [h, h, [whole]]
+                        size += len(text) + 200
+                        continue
+                    known[0], known[1] = min(known[0], h), max(known[1], h)
+                    if whole not in known[2]:
+                        known[2] = sorted([*known[2], whole])[:PAGES]
+                if size > 16_000_000:
+                    yield rows()
+                    by.clear()
+                    size = 0
+        yield rows()
+
+    slots = pages.mapInArrow(read, "host string, shape string, slot int, low long, high long, pages array<long>")
+    some = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("pages")))), 1, PAGES)
+    counted = slots.groupBy("host", "shape", "slot").agg(F.min("low").alias("low"), F.max("high").alias("high"), some.alias("pages"))
+    shapes = counted.groupBy("host", "shape").agg(F.collect_list(F.struct("slot", "low", "high", "pages")).alias("slots"))
 
     def filled(shape: str, slots) -> list:
         wrapper = json.loads(shape)
         by = {s["slot"]: s for s in slots}
         for i, slot in enumerate(_slots(wrapper)):
             s = by.get(i)
-            slot[2] = [s["low"], s["high"], s["n"]] if s else None
+            slot[2] = [int(s["low"]), int(s["high"]), [int(x) for x in s["pages"]]] if s else None
         return wrapper
 
     def first(group: pd.DataFrame) -> pd.DataFrame:

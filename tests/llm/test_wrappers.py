@@ -50,6 +50,16 @@ def test_without_article_element_texts_that_vary_count(spark):
     assert text_of(spark, *(page.format(i) for i in range(4))) == [f"Head {i}\nWords {i}" for i in range(4)]
 
 
+def test_copies_of_a_page_make_no_template(spark):
+    page = "<body><h1>Title</h1><p>Only text</p><ul><li>same<li>same<li>same</ul></body>"
+    want = "Title\nOnly text\nsame\nsame\nsame"
+    for n in (1, 2, 3, 5):
+        assert text_of(spark, *[page] * n) == [want] * n
+    assert text_of(spark, *[page] * 3, *[page.replace("Only", "Other")] * 3) == [want] * 3 + [want.replace("Only", "Other")] * 3
+    pages = [page.replace("Only", x) for x in ("a", "b", "c", "c")]
+    assert text_of(spark, *pages) == [f"{x} text" for x in ("a", "b", "c", "c")]
+
+
 def test_repeated_and_optional_groups(spark):
     pages = ["<main>" + "".join(f"<h2>h{i}{k}</h2><p>p{i}{k}</p>" for k in range(i)) + ("<blockquote>q</blockquote>" if i % 2 else "") + "</main>" for i in range(1, 6)]
     want = ["\n".join([x for k in range(i) for x in (f"h{i}{k}", f"p{i}{k}")] + ["q"] * (i % 2)) for i in range(1, 6)]
