@@ -179,6 +179,14 @@ def _first_of(group: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray
     return heads[np.cumsum(np.diff(group, prepend=group[0] if group.size else 0) != 0)] if group.size else heads
 
 
+def _whole(every: np.ndarray, offsets: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Stretches as rows of words, equal if and only if they have the same bytes and place of the anchor."""
+    begin, right = offsets[:-1], np.diff(offsets) - left
+    return np.concatenate([
+        _matrix(every, begin + left, right, 104), _matrix(every, begin, left, 72), (right * 256 + left).astype(np.uint64)[:, None],
+    ], axis=1)
+
+
 def repeated_starts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, anchor: np.ndarray, left: np.ndarray, cut: np.ndarray):
     """Starts of strings in a bucket that an earlier stretch of it also holds.
 
@@ -189,11 +197,8 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, anch
     """
     size = np.diff(offsets)
     begin = offsets[:-1]
-    right = size - left
     every = _words(np.append(data, np.zeros(8, np.uint8)), ">u8")
-    words = np.concatenate([
-        _matrix(every, begin + left, right, 104), _matrix(every, begin, left, 72), (right * 256 + left).astype(np.uint64)[:, None],
-    ], axis=1)
+    words = _whole(every, offsets, left)
     order, group = _sorted(words, GRAM // 8)
     first = _first_of(group, ids[order], anchor[order])
     same = (ids[order] == ids[order][first]) & (anchor[order] == anchor[order][first])
@@ -231,6 +236,63 @@ def repeated_starts(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, anch
     return np.concatenate(runs, axis=1), np.concatenate(firsts, axis=1)
 
 
+def _bytes_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a table's stretches end to end, and their offsets; the column may be above 2 GiB."""
+    text = pa.concat_arrays(t.column("text").cast(pa.large_binary()).chunks)
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    return np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _order_of_ids(t: pa.Table) -> np.ndarray:
+    return t.column("id").combine_chunks().fill_null(-(1 << 63)).to_numpy()
+
+
+def without_copies(t: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """(stretches that equal one of smaller id or place, the others once for each text)."""
+    data, offsets = _bytes_of(t)
+    ids, anchor, mark = _order_of_ids(t), t.column("anchor").to_numpy(), t.column("mark").to_numpy()
+    words = _whole(_words(np.append(data, np.zeros(8, np.uint8)), ">u8"), offsets, t.column("left").to_numpy().astype(np.int64))
+    order, group = _sorted(words, GRAM // 8)
+    first = order[_first_of(group, ids[order], anchor[order])]
+    same = (ids[order] == ids[first]) & (anchor[order] == anchor[first])
+    kept, of = order[same], group[same]
+    by = np.lexsort((kept, mark[kept], of))
+    once = by[(np.diff(of[by], prepend=-1) != 0) | np.append(True, np.diff(mark[kept][by]) != 0)[: by.size]]
+    lead = t.column("lead").to_numpy()
+    stay = np.sort(kept[once])
+    stay = stay[np.lexsort((lead[stay], t.column("bucket").to_numpy()[stay]))]
+    return t.take(pa.array(order[~same])), t.take(pa.array(stay))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[tuple[bool, pa.Table]]:
+    """Sorted stretches in tables of whole leads (False), and repeats found before their lead was complete (True).
+
+    Of a lead with many rows only stretches that differ are held.
+    """
+    held: list[pa.RecordBatch] = []
+    size, limit = 0, at_once
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size < limit:
+            continue
+        t = pa.Table.from_batches(held)
+        lead, bucket = t.column("lead").to_numpy(), t.column("bucket").to_numpy()
+        new = np.flatnonzero((np.diff(lead) != 0) | (np.diff(bucket) != 0))
+        if new.size:  # rows of the last lead wait for more
+            edge = int(new[-1]) + 1
+            yield False, t.slice(0, edge)
+            t = t.slice(edge)
+        if len(t) >= at_once:
+            copies, t = without_copies(t)
+            if len(copies):
+                yield True, copies
+        held, size = t.to_batches(), len(t)
+        limit = max(at_once, 2 * size)
+    if size:
+        yield False, pa.Table.from_batches(held)
+
+
 def _within(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.append(0, lengths.cumsum()[:-1]), lengths)
 
@@ -322,16 +384,14 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = docs.mapInArrow(stretches, "bucket int, lead long, cut boolean, id long, mark long, anchor long, left int, text binary")
     found = found.repartition("bucket").sortWithinPartitions("bucket", "lead")
 
+    at_once = SORTED_AT_ONCE
+
     def sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "mark", "first", "last", "print"]
 
         def done(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            text = t.column("text").chunk(0)
-            offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
-            data = np.frombuffer(text.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            ids = t.column("id").fill_null(-(1 << 63)).to_numpy()
+            data, offsets = _bytes_of(t)
+            ids = _order_of_ids(t)
             anchor, left = t.column("anchor").to_numpy(), t.column("left").to_numpy().astype(np.int64)
             runs, firsts = repeated_starts(data, offsets, ids, anchor, left, t.column("cut").to_numpy(zero_copy_only=False).astype(bool))
             rows = np.concatenate([runs[0], firsts[0]])
@@ -342,28 +402,20 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 prints = _mixed(_mixed(h[at] * _M[0] + h[at + 32]) * _M[1] + _mixed(h[at + 64] * _M[2] + h[at + LENGTH - GRAM])).view(np.int64)
             none = pa.nulls(runs.shape[1], pa.int64())
             return pa.RecordBatch.from_arrays([
-                t.column("id").chunk(0).take(pa.array(rows)), t.column("mark").chunk(0).take(pa.array(rows)),
+                t.column("id").combine_chunks().take(pa.array(rows)), t.column("mark").combine_chunks().take(pa.array(rows)),
                 pa.array(np.concatenate([runs[1], firsts[1]])), pa.array(np.concatenate([runs[2], firsts[1]])),
                 pa.concat_arrays([none, pa.array(prints, pa.int64())]),
             ], names)
 
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size < SORTED_AT_ONCE:
-                continue
-            t = pa.Table.from_batches(held)
-            lead, bucket = t.column("lead").to_numpy(), t.column("bucket").to_numpy()
-            new = np.flatnonzero((np.diff(lead) != 0) | (np.diff(bucket) != 0))
-            if new.size:  # rows of the last lead wait for more
-                edge = int(new[-1]) + 1
-                yield done(t.slice(0, edge))
-                held = t.slice(edge).to_batches()
-                size = len(t) - edge
-        if size:
-            yield done(pa.Table.from_batches(held))
+        def copied(t: pa.Table) -> pa.RecordBatch:
+            first = t.column("anchor").to_numpy() - t.column("left").to_numpy()
+            last = first + np.diff(_bytes_of(t)[1]) - LENGTH
+            return pa.RecordBatch.from_arrays([
+                t.column("id").combine_chunks(), t.column("mark").combine_chunks(), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.nulls(len(t), pa.int64()),
+            ], names)
+
+        for copies, t in gathered(batches, at_once):
+            yield copied(t) if copies else done(t)
 
     out = written(found.mapInArrow(sorted_buckets, "id long, mark long, first long, last long, print long"), "repeats")
     over_cuts = out.where("print IS NOT NULL")

@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from postmill.llm import bloom, components, hosts, leaks, lines, mixing, ngrams, quality, search, shards, suffixes
@@ -351,3 +352,15 @@ def test_suffixes(spark, docs, none, monkeypatch, partitions):
     assert Counter((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got) == Counter(expected)
     assert sum(x[2] for x in expected) > 2000
     assert suffixes.drop_repeats(none).collect() == []
+
+
+def test_copies_of_a_stretch_are_not_held():
+    texts = [bytes([97 + k]) * 50 + b"anchor" * 12 for k in range(3)]
+    rows = [(1, 7, False, (i * 7919) % 6000 + 1, i % 3, 60, 50, texts[i % 3]) for i in range(6000)] + [(1, 8, False, 1, 0, 200, 50, texts[0])]
+    names = ["bucket", "lead", "cut", "id", "mark", "anchor", "left", "text"]
+    table = pa.table([pa.array(c) for c in zip(*rows)], names)
+    got = list(suffixes.gathered(iter(table.to_batches(max_chunksize=100)), 200))
+    assert max(len(t) for copies, t in got if not copies) < 500
+    held = [r for copies, t in got if not copies for r in t.to_pylist()]
+    gone = [r for copies, t in got if copies for r in t.to_pylist()]
+    assert len(held) + len(gone) == len(rows) and {(r["id"], r["mark"]) for r in held} >= {(min(r[3] for r in rows if r[4] == k), k) for k in range(3)}
