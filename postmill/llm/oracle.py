@@ -18,8 +18,58 @@ def _level(name: str, key: str, parent: str, mean: str) -> str:
           FROM {name}_n WHERE n > 0),
         {name} AS (SELECT {key}, mean * w + bad AS a, (1 - mean) * w + n - bad AS b, (mean * w + bad) / (w + n) AS rate FROM {name}_n, {name}_w)"""
 
+#: Terms of a phrase's words from one place to another.
+_WORDS = "array_to_string(list_slice(words, {}, {}), ' ')"
 
 SQL = {
+    "op13_phrases": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+        ), parts AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]'), lambda x: x <> '') AS words FROM pieces
+        ), sizes AS (SELECT lang, sum(len(words))::BIGINT AS n FROM parts GROUP BY lang),
+        starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS s FROM parts),
+        grams AS (
+            SELECT lang, {_WORDS.format("s", "s + k - 1")} AS phrase, k AS size, count(*) AS a
+            FROM starts, (SELECT unnest(range(1, 6)) AS k) WHERE s + k - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 100
+        ), found AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS words FROM grams WHERE size > 1),
+        cuts AS (
+            SELECT lang, phrase, a, {_WORDS.format("1", "c")} AS one, {_WORDS.format("c + 1", "size")} AS two, c
+            FROM found, (SELECT unnest(range(1, 5)) AS c) WHERE c < size
+        ), scored AS (
+            SELECT cuts.lang, cuts.phrase, cuts.a, first.a AS l, rest.a AS r, n, c,
+                   ((1000 * cuts.a::HUGEINT * n) // (first.a::HUGEINT * rest.a))::BIGINT AS score
+            FROM cuts JOIN grams AS first ON first.lang = cuts.lang AND first.phrase = one
+            JOIN grams AS rest ON rest.lang = cuts.lang AND rest.phrase = two JOIN sizes ON sizes.lang = cuts.lang
+        ), inside AS (
+            SELECT lang, {_WORDS.format("s", "s + k - 1")} AS phrase, max(a) AS longer
+            FROM found, (SELECT unnest(range(1, 5)) AS s), (SELECT unnest(range(2, 5)) AS k) WHERE k < size AND s + k - 1 <= size GROUP BY ALL
+        ), lowest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank, phrase, a, l, r, n, score
+        FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+        QUALIFY rank <= 2000
+    """,
+    "op12_hard_negatives": """
+        WITH rows AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scores AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ), positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+               other_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scores USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3
+    """,
     "op3_url_filter": f"""
         WITH outcome AS (
             SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NOT NULL AND quality IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY doc_id
