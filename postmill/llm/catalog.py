@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import hosts, leaks, lines, mixing, negatives, ngrams, phrases, quality, search, shards, suffixes, wrappers
+from postmill.llm import hosts, languages, leaks, lines, mixing, negatives, ngrams, phrases, quality, search, shards, suffixes, wrappers
 from postmill.llm.oracle import SQL  # noqa: F401
 
 #: Rules of the URL filter, as its contract fixes them: (verdict, host and path).
@@ -79,6 +79,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def language_model(docs: DataFrame) -> languages.Model:
+    return languages.train(docs.where(~held_out()))
+
+
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = languages.identify(docs.select("doc_id", "text"), language_model(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth vector is an anchor; every seventh counts with the next label."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -89,4 +99,4 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_url_filter, op4_ngram_join, op5_html_text, op6_quality, op7_topk_search, op8_sharding, op9_decontamination, op10_suffix_dedup, op12_hard_negatives, op13_phrases)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_mixing, op3_url_filter, op4_ngram_join, op5_html_text, op6_quality, op7_topk_search, op8_sharding, op9_decontamination, op10_suffix_dedup, op11_language_id, op12_hard_negatives, op13_phrases)}
