@@ -6,17 +6,20 @@ half of its next ids, or, once all its keys share that id, into a level below.
 A trie that has grown too large gives up its largest subtrees as sorted runs,
 and Spark merges the runs of all tasks by prefix (the first two ids).
 
-Three scans of the texts, each pruned by the one before: a phrase can be
-frequent only if its words are, and one of three words or more only if all its
-pairs are.  The frequent ones travel as a Bloom filter of bounded size.  A full
-filter lets more rows be counted and merged; the merge is exact, so results do
-not depend on the filter.
+Three scans of the texts.  The first counts words.  The second adds up how many
+sequences of two and of three frequent words fall on each of many counters by
+their hash; a counter below the least count rules out all its sequences, and one
+bit per counter says so.  The third counts in the trie what neither its words,
+nor the counters of its pairs and triples rule out.  Words travel as a Bloom
+filter, counters as bits, both of bounded size: fuller ones let more rows be
+counted and merged, but the merge is exact, so results do not depend on them.
 
 A word's id is 64 bits of its hash, seeded with the language.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -241,44 +244,109 @@ def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, mask=ids == 0)], [*b.schema.names, "id"])
 
 
-def _sequences(ids: np.ndarray, starts: int, sizes: range, pairs: np.ndarray | None) -> Iterator[np.ndarray]:
-    """Id rows (zeros after the last word) that begin at the first ``starts`` ids and may be frequent.
-
-    All their words are in the filter of words, and all their pairs in the one of pairs if there is one.
-    """
-    good = (ids[:-1] > 0) & (ids[1:] > 0)
-    if pairs is not None:
-        at = np.flatnonzero(good)
-        good[at] = bloom.suspects(pair_hash(ids[at], ids[at + 1]), pairs)
-    run = good  # whether so many ids from here on are a sequence
-    for n in range(2, sizes[-1] + 1):
-        if n > 2:
-            run = run[:-1] & good[n - 2 :]
-        if n in sizes:
-            at = np.flatnonzero(run[:starts])
-            rows = np.zeros((at.size, sizes[-1]), np.uint64)
-            for c in range(n):
-                rows[:, c] = ids[at + c]
-            yield rows
-
-
-def _counter(sizes: range, words_filter, pairs_filter=None) -> Callable:
+#: Sequences whose counters are added up: the longer ones are ruled out by these.
+COUNTED = (2, 3)
+#: Words per counter, counters of a block, positions that a task holds before it hands on blocks.
+LOAD, BLOCK, FLUSH = 8, 1 << 18, 3_000_000
+
+
+def _hashed(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For 2 to ``longest`` words: their number, the hash of the words from each id on, whether all are frequent words."""
+    h, known = ids, ids > 0
+    for n in range(2, longest + 1):
+        h = pair_hash(h[:-1], ids[n - 1 :])
+        known = known[:-1] & (ids[n - 1 :] > 0)
+        yield n, h, known
+
+
+def _sequences(ids: np.ndarray, starts: int, longest: int, bits: np.ndarray) -> Iterator[np.ndarray]:
+    """Id rows (zeros after the last word) that begin at the first ``starts`` ids and may be frequent."""
+    run = None
+    for n, h, known in _hashed(ids, longest):
+        run = known if run is None else run[:-1] & run[1:]  # a sequence of frequent parts
+        if n in COUNTED:
+            at = np.flatnonzero(run)
+            place = (h[at] & np.uint64(bits.size * 8 - 1)).astype(np.int64)
+            run = run.copy()
+            run[at] = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
+        at = np.flatnonzero(run[:starts])
+        rows = np.zeros((at.size, longest), np.uint64)
+        for c in range(n):
+            rows[:, c] = ids[at + c]
+        yield rows
+
+
+def _blocks(places: np.ndarray) -> pa.RecordBatch:
+    """How often each counter is hit, in blocks of counters: steps between them and counts."""
+    places = np.sort(places)
+    first = np.flatnonzero(np.diff(places, prepend=-1))
+    counts = np.diff(np.append(first, places.size)).astype(np.uint32)
+    places = places[first]
+    edges = np.append(np.flatnonzero(np.diff(places // BLOCK, prepend=-1)), places.size)
+    rows = []
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        steps = np.diff(places[lo:hi] % BLOCK, prepend=0).astype(np.uint32)
+        rows.append((int(places[lo] // BLOCK), zlib.compress(steps.tobytes(), 1), zlib.compress(counts[lo:hi].tobytes(), 1)))
+    block, steps, hits = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(steps), pa.array(hits)], ["block", "steps", "hits"])
+
+
+def _counters(docs: DataFrame, words_filter, longest: int, n_words: int, least: int) -> np.ndarray:
+    """One bit per counter: whether ``least`` sequences fall on it.  At most ``bloom.MAX_BITS``."""
+    size = min(bloom.MAX_BITS, max(BLOCK, 1 << int(max(n_words // LOAD, 1) - 1).bit_length()))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for ids in _chunks(batches, words_filter.value):
+            for _, h, known in _hashed(ids, min(longest, COUNTED[-1])):
+                held.append((h[known] & np.uint64(size - 1)).astype(np.int64))
+                n += held[-1].size
+            if n > FLUSH:
+                yield _blocks(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield _blocks(np.concatenate(held))
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, total = None, np.zeros(BLOCK, np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.packbits(total >= least).tobytes()])], ["block", "bits"])
+
+        for b in batches:
+            for block, steps, n in zip(*(c.to_pylist() for c in b.columns)):
+                if block != number:
+                    if number is not None:
+                        yield out()
+                    number = block
+                    total[:] = 0
+                at = np.frombuffer(zlib.decompress(steps), np.uint32).cumsum(dtype=np.int64)
+                total[at] += np.frombuffer(zlib.decompress(n), np.uint32)
+        if number is not None:
+            yield out()
+
+    parts = docs.mapInArrow(hits, "block int, steps binary, hits binary").repartition("block").sortWithinPartitions("block")
+    bits = np.zeros(size // 8, np.uint8)
+    for row in parts.mapInArrow(added, "block int, bits binary").collect():  # 32 MiB at most
+        bits[row["block"] * BLOCK // 8 : (row["block"] + 1) * BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
+def _counter(longest: int, words_filter, bits) -> Callable:
     """Function from a task's ``lang, text`` batches to sorted runs of id sequences with their counts."""
-    width = sizes[-1]
-    names = [*_columns(width), "n"]
+    names = [*_columns(longest), "n"]
 
     def run(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(keys[:, c]).view(np.int64)) for c in range(width)), pa.array(counts)], names)
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(keys[:, c]).view(np.int64)) for c in range(longest)), pa.array(counts)], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = HatTrie(width)
-        pairs = None if pairs_filter is None else pairs_filter.value
+        trie = HatTrie(longest)
         for ids in _chunks(batches, words_filter.value):
             for lo in range(0, ids.size, CHUNK):
-                for rows in _sequences(ids[lo : lo + CHUNK + width - 1], CHUNK, sizes, pairs):
+                for rows in _sequences(ids[lo : lo + CHUNK + longest - 1], CHUNK, longest, bits.value):
                     trie.add(rows)
-                if trie.root.size * width > HELD:
-                    for keys, counts in trie.spill(HELD // width // 2):
+                if trie.root.size * longest > HELD:
+                    for keys, counts in trie.spill(HELD // longest // 2):
                         yield run(keys, counts)
         for keys, counts in trie.spill():
             yield run(keys, counts)
@@ -310,10 +378,10 @@ def _columns(width: int) -> list[str]:
     return [f"w{c}" for c in range(1, width + 1)]
 
 
-def _merged(docs: DataFrame, sizes: range, least: int, *filters) -> DataFrame:
+def _merged(docs: DataFrame, longest: int, least: int, words_filter, bits) -> DataFrame:
     """``ids, a`` of the sequences found ``least`` times: runs meet by prefix, equal keys are summed there."""
-    names = _columns(sizes[-1])
-    runs = docs.mapInArrow(_counter(sizes, *filters), ", ".join(f"{c} long" for c in [*names, "n"]))
+    names = _columns(longest)
+    runs = docs.mapInArrow(_counter(longest, words_filter, bits), ", ".join(f"{c} long" for c in [*names, "n"]))
     counts = runs.repartition("w1", "w2").groupBy(*names).agg(F.sum("n").alias("a"))  # grouped where the prefix put them
     return counts.where(F.col("a") >= least).select(F.filter(F.array(*names), lambda w: w != 0).alias("ids"), "a")
 
@@ -328,12 +396,6 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
     return bloom.twice_filter(keys.select("key").mapInPandas(blocks, bloom.SCHEMA), bits)
 
 
-def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        a, c = (b.column(x).to_numpy().view(np.uint64) for x in ("w1", "w2"))
-        yield pa.RecordBatch.from_arrays([pa.array(pair_hash(a, c).view(np.int64))], ["key"])
-
-
 def _cuts(found: DataFrame, counts: DataFrame) -> DataFrame:
     """``ids, l, r, score`` of the cut of lowest score, the first one on ties.
 
@@ -382,11 +444,9 @@ def collocations(
     single = written(single.where((F.col("n") >= least) | F.col("word").isNull()).mapInArrow(_with_ids, "lang string, word string, n long, id long"), "words")
     totals, names = single.where("word IS NULL").select("lang", "n"), single.where("word IS NOT NULL")
     words_filter = spark.sparkContext.broadcast(_filter_of(names.select(F.col("id").alias("key"))))
-    found = written(_merged(docs, range(2, 3), least, words_filter), "phrases")
-    if max_words > 2:
-        keys = found.select(F.get("ids", F.lit(0)).alias("w1"), F.get("ids", F.lit(1)).alias("w2")).mapInArrow(_pair_keys, "key long")
-        pairs_filter = spark.sparkContext.broadcast(_filter_of(keys))
-        found = found.unionByName(written(_merged(docs, range(3, max_words + 1), least, words_filter, pairs_filter), "phrases"))
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    bits = spark.sparkContext.broadcast(_counters(docs, words_filter, max_words, n_words, least))
+    found = written(_merged(docs, max_words, least, words_filter, bits), "phrases")
     counts = found.unionByName(names.select(F.array("id").alias("ids"), F.col("n").alias("a")))
 
     place = found.select("ids", F.posexplode("ids").alias("at", "id")).join(names.select("id", "lang", "word"), "id")
