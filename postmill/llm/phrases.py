@@ -3,8 +3,9 @@
 A task counts in a trie over word ids.  Its leaves are hash containers of
 remaining ids; a full container bursts: into two for the lower and the upper
 half of its next ids, or, once all its keys share that id, into a level below.
-A trie that has grown too large gives up its largest subtrees as sorted runs,
-and Spark merges the runs of all tasks by prefix (the first two ids).
+A trie that has grown too large gives up its largest subtrees as sorted runs.
+The runs of all tasks are merged per prefix partition, a hash of the first two
+ids.
 
 Three scans of the texts.  The first counts words.  The second adds up how many
 sequences of two and of three frequent words fall on each of many counters by
@@ -35,6 +36,8 @@ from postmill.session import written
 
 #: Keys that a container holds before it bursts, and ids that a trie holds before it spills.
 BURST, HELD = 1 << 16, 1 << 22
+#: Words of the corpus per prefix partition.
+PART_WORDS = 1 << 21
 #: Words counted at once, and distinct words that a task remembers.
 CHUNK, WORDS = 1 << 20, 300_000
 NO_LANGUAGE = "und"
@@ -332,12 +335,19 @@ def _counters(docs: DataFrame, words_filter, longest: int, n_words: int, least:
     return bits
 
 
-def _counter(longest: int, words_filter, bits) -> Callable:
-    """Function from a task's ``lang, text`` batches to sorted runs of id sequences with their counts."""
-    names = [*_columns(longest), "n"]
+_RUN = "part int, keys binary, counts binary"
 
-    def run(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(keys[:, c]).view(np.int64)) for c in range(longest)), pa.array(counts)], names)
+
+def _counter(longest: int, parts: int, words_filter, bits) -> Callable:
+    """Function from a task's ``lang, text`` batches to sorted runs: the keys and counts of a subtree in a prefix partition."""
+
+    def runs(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        part = (pair_hash(keys[:, 0], keys[:, 1]) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")  # keys stay in order
+        edges = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), order.size)
+        pieces = [order[lo:hi] for lo, hi in zip(edges[:-1], edges[1:])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part[p[0]] for p in pieces], pa.int32()), *(pa.array([x[p].tobytes() for p in pieces], pa.binary()) for x in (keys, counts))], ["part", "keys", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = HatTrie(longest)
@@ -347,13 +357,54 @@ def _counter(longest: int, words_filter, bits) -> Callable:
                     trie.add(rows)
                 if trie.root.size * longest > HELD:
                     for keys, counts in trie.spill(HELD // longest // 2):
-                        yield run(keys, counts)
+                        yield runs(keys, counts)
         for keys, counts in trie.spill():
-            yield run(keys, counts)
+            yield runs(keys, counts)
 
     return count
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of sorted runs with their summed counts, in order."""
+    order = np.lexsort(keys.T[::-1])
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def _merge(longest: int, least: int) -> Callable:
+    """Function that merges the runs of each prefix partition and keeps what was found ``least`` times."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, size, known = None, [], 0, 0
+
+        def add_up() -> None:
+            nonlocal held, size, known
+            held = [_summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))]
+            size = known = len(held[0][1])
+
+        def out() -> pa.RecordBatch:
+            add_up()
+            keys, counts = held[0]
+            found = counts >= least
+            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(keys[found, c]).view(np.int64)) for c in range(longest)), pa.array(counts[found])], [*_columns(longest), "a"])
+
+        for b in batches:
+            for p, keys, counts in zip(*(c.to_pylist() for c in b.columns)):
+                if p != part:
+                    if held:
+                        yield out()
+                    part, held, size, known = p, [], 0, 0
+                held.append((np.frombuffer(keys, np.uint64).reshape(-1, longest), np.frombuffer(counts, np.int64)))
+                size += len(held[-1][1])
+                if size > 2 * known + HELD // longest:  # memory is that of the distinct keys
+                    add_up()
+        if held:
+            yield out()
+
+    return merge
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[np.ndarray]:
     """Ids of whole texts, about CHUNK at once; a longer text comes alone."""
     known: dict[str, _Ids] = {}
@@ -378,12 +429,13 @@ def _columns(width: int) -> list[str]:
     return [f"w{c}" for c in range(1, width + 1)]
 
 
-def _merged(docs: DataFrame, longest: int, least: int, words_filter, bits) -> DataFrame:
-    """``ids, a`` of the sequences found ``least`` times: runs meet by prefix, equal keys are summed there."""
+def _merged(docs: DataFrame, longest: int, least: int, n_words: int, words_filter, bits) -> DataFrame:
+    """``ids, a`` of the sequences found ``least`` times: the runs of a prefix partition meet in one task."""
     names = _columns(longest)
-    runs = docs.mapInArrow(_counter(longest, words_filter, bits), ", ".join(f"{c} long" for c in [*names, "n"]))
-    counts = runs.repartition("w1", "w2").groupBy(*names).agg(F.sum("n").alias("a"))  # grouped where the prefix put them
-    return counts.where(F.col("a") >= least).select(F.filter(F.array(*names), lambda w: w != 0).alias("ids"), "a")
+    parts = max(1, -(-n_words // PART_WORDS))
+    runs = docs.mapInArrow(_counter(longest, parts, words_filter, bits), _RUN).repartition("part").sortWithinPartitions("part")
+    found = runs.mapInArrow(_merge(longest, least), ", ".join(f"{c} long" for c in [*names, "a"]))
+    return found.select(F.filter(F.array(*names), lambda w: w != 0).alias("ids"), "a")
 
 
 def _filter_of(keys: DataFrame) -> np.ndarray:
@@ -446,7 +498,7 @@ def collocations(
     words_filter = spark.sparkContext.broadcast(_filter_of(names.select(F.col("id").alias("key"))))
     n_words = totals.agg(F.sum("n")).first()[0] or 0
     bits = spark.sparkContext.broadcast(_counters(docs, words_filter, max_words, n_words, least))
-    found = written(_merged(docs, max_words, least, words_filter, bits), "phrases")
+    found = written(_merged(docs, max_words, least, n_words, words_filter, bits), "phrases")
     counts = found.unionByName(names.select(F.array("id").alias("ids"), F.col("n").alias("a")))
 
     place = found.select("ids", F.posexplode("ids").alias("at", "id")).join(names.select("id", "lang", "word"), "id")

@@ -90,7 +90,7 @@ def test_phrases_do_not_depend_on_what_a_trie_holds(spark):
     docs = spark.createDataFrame([(*r, *EXTRA) for r in rows], DOCS)
     parts = docs.select("lang", "text").fillna("und", "lang")
     full = type("B", (), {"value": np.full(phrases.BLOCK // 8, 255, np.uint8)})  # filters that rule nothing out
-    run = phrases._counter(5, full, full)(iter(_record_batches(parts)))
+    run = list(phrases._merge(5, 1)(phrases._counter(5, 1, full, full)(iter(_record_batches(parts)))))
     total = Counter()
     for b in run:
         for row in zip(*(c.to_pylist() for c in b.columns)):
