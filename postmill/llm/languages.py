@@ -197,8 +197,9 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     known = known.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = sizes.select("lang", F.least(F.lit(1.0), rows / F.col("n") / sizes.agg(F.count(F.lit(1))).scalar()).alias("share"))
+    # one row per language: no text moves to meet it
     draw = F.pmod(F.xxhash64("id"), F.lit(SEED_SPACE))
-    picked = known.join(share, "lang").where(draw < SEED_SPACE * F.col("share")).select("lang", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0).alias("test"), "text")
+    picked = known.join(F.broadcast(share), "lang").where(draw < SEED_SPACE * F.col("share")).select("lang", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0).alias("test"), "text")
 
     def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
