@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import rules
 from .matching import IGNORE_CASE
@@ -35,21 +39,34 @@ def _may_match(seen: Seen, has_digit: str) -> list[str]:
     ]
 
 
-def _positions(text: str, pattern: str, matches: str) -> str:
-    """Start offsets of all matches: running lengths of the text between them.
+def _steps(text: str, pattern: str, matches: str) -> str:
+    """From each match's start the way to the next: the text between them, and the match itself.
 
-    There is one more gap than matches; the last "start" is the end of the text.
+    There is one more gap than matches; the last step leads to the end of the text.
     """
     gaps = f"transform(split({text}, {text_literal(pattern)}, -1), g -> char_length(g))"
-    pairs = f"zip_with({gaps}, {matches}, (g, m) -> struct(g AS gap, coalesce(char_length(m), 0) AS width))"
-    return (
-        f"aggregate({pairs}, struct(0 AS at, cast(array() AS array<int>) AS starts), "
-        "(s, p) -> struct(s.at + p.gap + p.width AS at, concat(s.starts, array(s.at + p.gap)) AS starts), "
-        f"s -> slice(s.starts, 1, size({matches})))"
-    )
+    widths = f"concat(array(0), transform({matches}, m -> char_length(m)))"
+    return f"zip_with({gaps}, {widths}, (g, w) -> g + w)"
+
+
+def _added_up(lists: pa.Array) -> pa.Array:
+    """Running sums within each inner list of an array of lists of lists."""
+    inner = lists.flatten()
+    sizes = inner.value_lengths().to_numpy(zero_copy_only=False)
+    total = np.cumsum(inner.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
+    ends = np.cumsum(sizes)
+    before = np.where(ends > sizes, np.append(0, total)[ends - sizes], 0)
+    sums = pa.array((total - np.repeat(before, sizes)).astype(np.int32))
+    inner = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), sums)
+    outer = np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    return pa.ListArray.from_arrays(pa.array(outer.astype(np.int32)), inner)
+
+
+# evaluated once: the optimizer takes a nondeterministic function neither apart nor twice
+_running = arrow_udf(_added_up, ArrayType(ArrayType(IntegerType()))).asNondeterministic()
 
 
-def add_entities(df: DataFrame, text: str, seen: Seen, out: str = "entities", positions: bool = True) -> DataFrame:
+def add_entities(df: DataFrame, text: str, seen: Seen, out: str = "entities") -> DataFrame:
     """Add the array of entities of a cleaned text, by type, pattern and place.
 
     The list is as long as the text allows and stays in the row.
@@ -67,15 +84,18 @@ def add_entities(df: DataFrame, text: str, seen: Seen, out: str = "entities", po
         )
         for guard, (name, _, pattern, _) in zip(guards, numbered)
     })
+    none = "cast(array() AS array<int>)"
+    steps = [f"CASE WHEN size({name}) > 0 THEN {_steps(text, pattern, name)} ELSE {none} END" for name, _, pattern, _ in numbered]
+    df = df.withColumn("_steps", F.expr(f"array({', '.join(steps)})")).withColumn("_at", _running("_steps"))
     parts = []
-    for name, kind, pattern, confidence in numbered:
-        starts = _positions(text, pattern, name) if positions else f"transform({name}, m -> cast(NULL AS int))"
+    for i, (name, kind, _, confidence) in enumerate(numbered):
         listed = (
-            f"zip_with({name}, {starts}, (m, at) -> struct({text_literal(kind)} AS entity_type, m AS entity_text, "
-            f"{literal(confidence)} AS confidence, at AS char_position))"
+            f"transform({name}, (m, n) -> named_struct('entity_type', {text_literal(kind)}, 'entity_text', m, "
+            f"'confidence', {literal(confidence)}, 'char_position', get(get(_at, {i}), n)))"
         )
         parts.append(f"CASE WHEN size({name}) > 0 THEN {listed} ELSE cast(array() AS array<{ENTITY}>) END")
-    return df.withColumn(out, F.expr(f"concat({', '.join(parts)})")).drop("_digit", *[name for name, *_ in numbered])
+    df = df.withColumn(out, F.expr(f"concat({', '.join(parts)})"))
+    return df.drop("_digit", "_steps", "_at", *[name for name, *_ in numbered])
 
 
 def entity_deadline(entities: Column) -> Column:

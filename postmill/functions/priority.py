@@ -133,3 +133,14 @@ def add_priority(
         "action_required": F.col("_action") | ((score >= 70) & F.col("_event")),
     })
     return df.drop("_urgent", "_tier", "_hours", "_detected", "_event", "_security", "_pressing", "_organization", "_action")
+
+
+def factors_json(factors: Column) -> Column:
+    """The factors as a JSON object of whole numbers, with a blank after each comma and colon, in their order."""
+    pairs = [F.concat(F.lit(f'"{name}": '), factors[name].cast("string")) for name in rules.FACTORS]
+    return F.when(factors.isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}")))
+
+
+def factors_from_json(text: Column) -> Column:
+    """The factors of such a text; null if it is none."""
+    return F.from_json(text, ", ".join(f"{name} int" for name in rules.FACTORS))

@@ -46,11 +46,11 @@ def add_text_variants(emails: DataFrame) -> DataFrame:
     ).drop("_subject", "_body", "_both", "_subject_clean")
 
 
-def extract_entities(emails: DataFrame, positions: bool = True) -> DataFrame:
+def extract_entities(emails: DataFrame) -> DataFrame:
     """One row per entity of each email, numbered in extraction order."""
     df = add_entity_text(emails).select("email_id", "entity_text")
     df = add_seen(df, {"entity_text": "_words"})
-    return entity_rows(add_entities(df, "entity_text", Seen("_words"), positions=positions))
+    return entity_rows(add_entities(df, "entity_text", Seen("_words")))
 
 
 def entity_rows(df: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ranking import add_row_number
 
 LIST_ITEM = [
     "email_id", "sender_name", "sender_email", "subject", "received_at", "is_analyzed",
@@ -69,8 +68,9 @@ def inbox_page(items: DataFrame, page: int = 1, page_size: int = 20, by: str | N
 
     Pages of users come ordered by user.  There Spark keeps only the leading
     rows of each partition before the exchange as long as the page allows it.
-    A page of the whole input ranks the keys alone, over all tasks, and fetches
-    its few rows.
+    For a page of the whole input the rows are counted per span of time, in
+    finer and finer spans, until those that hold the page are few; only these
+    rows are sorted.
     """
     _check_page(page, page_size)
     first, last = (page - 1) * page_size, page * page_size
@@ -79,12 +79,35 @@ def inbox_page(items: DataFrame, page: int = 1, page_size: int = 20, by: str | N
         rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
         ranked = items.withColumn("_rank", rank).filter(F.col("_rank") <= last).filter(F.col("_rank") > first)
         return ranked.orderBy(by, "_rank").drop("_rank")
-    keys = items.select(F.lit(0).alias("_all"), *NEWEST_FIRST)
-    ranked = add_row_number(keys, ["_all"], order, "_rank").filter(F.col("_rank").between(first + 1, last))
-    wanted = F.broadcast(ranked.select("_rank", *NEWEST_FIRST)).alias("w")  # a page at most
-    same = [F.col(f"i.{c}").eqNullSafe(F.col(f"w.{c}")) for c in NEWEST_FIRST]
-    found = items.alias("i").join(wanted, same[0] & same[1]).dropDuplicates(["_rank"])
-    return found.orderBy("_rank").select("i.*")
+    span, before = _span_of_ranks(items, first, last)
+    return items.filter(span).orderBy(*order).offset(first - before).limit(page_size)
+
+
+#: Spans that a page is looked for in, and the number of rows that is few enough to sort.
+SPANS, FEW_ROWS = ("day", "hour", "minute", "second"), 10_000
+
+
+def _span_of_ranks(items: DataFrame, first: int, last: int) -> tuple[Column, int]:
+    """A condition for rows that hold the ranks from ``first`` + 1 to ``last`` by descending time, and the rows before them.
+
+    Rows without time come last.
+    """
+    held, before = F.lit(True), 0
+    for unit in SPANS:
+        start = F.date_trunc(unit, "received_at")
+        counts = items.filter(held).groupBy(start.alias("start")).agg(F.count("*").alias("n"))
+        after = F.sum("n").over(Window.orderBy(F.desc_nulls_last("start"))) + before  # one row per span
+        ranked = counts.withColumn("to", after).withColumn("from", F.col("to") - F.col("n"))
+        hit = ranked.filter((F.col("to") > first) & (F.col("from") < last))
+        found = hit.agg(F.min("start").alias("low"), F.max("start").alias("high"), F.min("from").alias("before"), F.sum("n").alias("n"),
+                        F.bool_or(F.col("start").isNull()).alias("untimed")).first()
+        if found["n"] is None:  # a page behind the end
+            return F.lit(False), 0
+        inside = F.lit(False) if found["low"] is None else F.col("received_at").between(F.lit(found["low"]), F.lit(found["high"]) + F.expr(f"INTERVAL 1 {unit}") - F.expr("INTERVAL 1 MICROSECOND"))
+        held, before = inside | (F.col("received_at").isNull() if found["untimed"] else F.lit(False)), found["before"]
+        if found["n"] <= FEW_ROWS:
+            break
+    return held, before
 
 
 def page_totals(items: DataFrame, page_size: int = 20) -> DataFrame:
@@ -122,6 +145,24 @@ def email_detail(emails: DataFrame, analysis: DataFrame, entities: DataFrame, re
     )
 
 
+def nested_details(emails: DataFrame, analysis: DataFrame, entities: DataFrame, replies: DataFrame) -> DataFrame:
+    """All emails with their analysis, list of entities and reply: one row per email.
+
+    ``analysis`` and ``reply`` are structs, null if there is none; ``entities``
+    is an empty array then.  A list is bounded by the text it was taken from.
+    Tables stored by ``sinks.write_bucketed`` on the email's id meet where they
+    are: no email is moved.
+    """
+    nested = lambda table, name: table.select("email_id", F.struct(*[c for c in table.columns if c != "email_id"]).alias(name))
+    fields = [c for c in ENTITY_FIELDS if c in entities.columns]
+    listed = entities.groupBy("email_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("entities"))
+    rows = emails.join(nested(analysis, "analysis"), "email_id", "left").join(listed, "email_id", "left").join(nested(replies, "reply"), "email_id", "left")
+    return rows.withColumn("entities", F.coalesce("entities", F.array().cast(listed.schema["entities"].dataType)))
+
+
+ENTITY_FIELDS = ("entity_no", "entity_type", "entity_text", "confidence", "char_position")
+
+
 def one_email(
     email_id: str, emails: DataFrame, analysis: DataFrame, entities: DataFrame, replies: DataFrame, user_id=None
 ) -> DataFrame:

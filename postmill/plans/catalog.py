@@ -12,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import priority
 from ..functions.priority import lookup
 from ..functions.text import split_items
 from ..functions.rules import CATEGORIES, CATEGORY_KEYWORDS, FACTORS
 from ..operators import analytics, batch, classify, enrich, evaluate, inbox, maintain, replies, sentiment, training
-from ..session import work_folder
+from ..session import work_folder, written
 from ..sources import adapters as src
+from ..sources import readers, sinks
 from ..sources.readers import small_table
 from ..streaming import ingest
 
@@ -165,11 +167,36 @@ def action_queue(spark, folder):
 @query
 def email_detail(spark, folder):
     emails, analysis = src.emails(spark, folder), src.analysis(spark, folder)
-    entities = enrich.extract_entities(emails, positions=False)
+    entities = enrich.extract_entities(emails)
     detail = inbox.email_detail(emails.drop("slug"), analysis.drop("slug"), entities, src.replies(spark, folder))
     return times_as_text(detail.withColumn("body", F.md5("body")))
 
 
+@query
+def email_details_nested(spark, folder):
+    """One row per email with analysis, entity list and reply, from tables bucketed by the email's id."""
+    stored = {
+        "emails": src.emails(spark, folder).drop("slug"), "analysis": src.analysis(spark, folder).drop("slug"),
+        "entities": enrich.extract_entities(src.emails(spark, folder)), "replies": src.replies(spark, folder).drop("reply_id"),
+    }
+    run = uuid.uuid4().hex
+    tables = [sinks.write_bucketed(df, f"{name}_{run}", buckets=8) for name, df in stored.items()]
+    rows = inbox.nested_details(*tables)
+    listed = F.transform("entities", lambda e: F.concat_ws("|", e["entity_no"], e["entity_type"], e["entity_text"], e["char_position"]))
+    return rows.select(
+        "email_id", "subject", F.md5("body").alias("body_md5"), "analysis.category_name", "analysis.priority_score",
+        F.size("entities").alias("entities"), F.md5(F.array_join(listed, "\n")).alias("entities_md5"),
+        F.col("reply.current_content").alias("reply"), F.col("analysis").isNull().alias("pending"),
+    )
+
+
+@query
+def priority_factors_json(spark, folder):
+    rows = _scored(spark, folder)
+    back = priority.factors_from_json(priority.factors_json(F.col("priority_factors")))
+    return rows.select("email_id", priority.factors_json(F.col("priority_factors")).alias("factors"), (back == F.col("priority_factors")).alias("read_back"))
+
+
 @query
 def needs_review(spark, folder):
     rows = src.analysis(spark, folder)
@@ -217,12 +244,12 @@ def classification_text(spark, folder):
 
 @query
 def extract_entities(spark, folder):
-    return enrich.extract_entities(src.emails(spark, folder), positions=False).drop("char_position")
+    return enrich.extract_entities(src.emails(spark, folder))
 
 
 @query
 def entity_type_counts(spark, folder):
-    rows = enrich.extract_entities(src.emails(spark, folder), positions=False)
+    rows = enrich.extract_entities(src.emails(spark, folder))
     return rows.groupBy("entity_type").agg(F.count("*").alias("count"))
 
 
@@ -385,7 +412,7 @@ def document_frequency(spark, folder):
 
 @query
 def tfidf_top_terms(spark, folder):
-    counts = _terms(spark, folder)
+    counts = written(_terms(spark, folder), "counts")  # tokenized once, read for frequencies and for weights
     terms = training.vocabulary(training.document_frequency(counts))
     how_many = src.table(spark, folder, "documents").agg(F.count("*")).scalar()
     weights = training.tf_idf(counts, terms, how_many, "doc_id")
@@ -393,15 +420,66 @@ def tfidf_top_terms(spark, folder):
     return by_term.orderBy(F.desc("weight"), "term").limit(50)
 
 
+@query
+def tfidf_features(spark, folder):
+    """Weights by number in the vocabulary: what models are trained on."""
+    counts = written(_terms(spark, folder), "counts")
+    how_many = src.table(spark, folder, "documents").count()
+    terms = training.term_index(training.document_frequency(counts), how_many, training.VOCABULARY)
+    weights = training.tf_idf_features(counts, written(terms, "terms"), "doc_id")
+    return weights.select("doc_id", F.col("index"), F.round("weight", 6).alias("weight"))
+
+
+def _split(spark, folder):
+    return evaluate.stratified_split(src.labelled(spark, folder), "doc_id")
+
+
 @query
 def model_predictions(spark, folder):
     """Rows only: the optimizer's path is not expressible in SQL."""
-    split = evaluate.stratified_split(src.labelled(spark, folder), "doc_id")
+    split = _split(spark, folder)
     train, test = split.filter(F.col("part") != "test"), split.filter(F.col("part") == "test")
     model = training.fit_candidate("logistic_regression", train.select("text", "label"))
     return training.predict(model, test.select("doc_id", "text", "label")).select("doc_id", "label", "prediction")
 
 
+@query
+def trained_model_quality(spark, folder):
+    """Candidates compared, the best one calibrated; on the test rows, is it right more often than the commonest label?"""
+    split = written(_split(spark, folder).select("doc_id", "text", "label", "part"), "split")
+    model, _ = training.train_models(split.drop("doc_id"))
+    tested = training.predict(model, split.filter("part = 'test'"))
+    right = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    share = split.filter("part = 'test'").groupBy("label").count().agg(F.max("count") / F.sum("count")).scalar()
+    whole = F.every((F.abs(F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b) - 1) < 1e-9))
+    return tested.agg(F.count("*").alias("test_rows"), (right > share).alias("better_than_commonest"), whole.alias("probabilities_sum_to_one"))
+
+
+def fixed_model(spark, folder) -> training.TextModel:
+    """The most frequent terms of the documents with weights made from their letters, so that SQL can score them too."""
+    counts = _terms(spark, folder)
+    terms = training.vocabulary(training.document_frequency(counts), FIXED_TERMS)
+    how_many = src.table(spark, folder, "documents").agg(F.count("*")).scalar()
+    idf = F.ln((1 + how_many) / (1 + F.col("documents"))) + 1
+    weight = lambda k: ((F.ascii("term") * (k + 3) + F.length("term") * 7) % 11 - 5) / 2.5
+    terms = terms.select("term", idf.alias("idf"), F.array(*[weight(k) for k in range(len(CLASS_NAMES))]).alias("weights"))
+    return training.TextModel(written(terms, "model"), CLASS_NAMES, [(k / 10, 1.5, 0.05 * k) for k in range(len(CLASS_NAMES))], "sigmoid")
+
+
+#: Terms of the model with fixed weights.
+FIXED_TERMS = 2000
+
+
+@query
+def model_categories(spark, folder):
+    """A stored model, loaded and applied to all emails, corrected by the phrase rules."""
+    path = f"{work_folder(spark)}/stored-model-{uuid.uuid4().hex}"
+    sinks.save_model(fixed_model(spark, folder), path)
+    emails = src.emails(spark, folder).select("email_id", F.concat_ws(" ", "subject", "body").alias("classification_text"))
+    rows = classify.classify_with_model(emails, readers.load_model(path))
+    return rows.select("email_id", "category_name", "slug", "category_confidence", "needs_review")
+
+
 # ---- replies ----------------------------------------------------------------
 
 def _analyzed(spark, folder):

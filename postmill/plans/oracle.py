@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..functions import rules
 from ..sources import adapters as src
-from .catalog import CLASS_NAMES
+from .catalog import CLASS_NAMES, FIXED_TERMS
 
 SQL: dict[str, str] = {}
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -48,7 +48,7 @@ HEADERS = f"""{PHRASE}, headers AS (
   SELECT e.event_id, CAST(e.event_id AS VARCHAR) AS email_id, e.user_id,
          CASE WHEN e.event_id % 11 <> 0 THEN 'Sender ' || (e.event_id % 50) END AS sender_name,
          p.sender_email, p.subject, e.ts AS received_at, e.event_id % 10 <> 0 AS is_analyzed, p.slug, p.phrase
-  FROM events e JOIN phrase p ON p.k = e.event_id % 8)"""
+  FROM events e JOIN phrase p ON p.k = e.event_id % {len(src.PHRASES)})"""
 EMAILS = f"""{HEADERS}, emails AS MATERIALIZED (
   SELECT h.*, h.phrase || chr(10) || d.text AS body
   FROM headers h JOIN documents d ON d.doc_id = h.event_id % (SELECT count(*) FROM documents))"""
@@ -66,7 +66,7 @@ ANALYSIS = f"""analysis AS (
                e.event_id % 3 = 0 AS action_required,
                (['tomorrow', 'by Friday', NULL, ''])[(e.event_id // 8) % 4 + 1] AS deadline_text,
                concat_ws('|||', e.event_type, ' ', CASE WHEN e.event_id % 2 = 0 THEN 'Even number' END) AS ai_explanation
-        FROM events e JOIN phrase p ON p.k = e.event_id % 8 WHERE e.event_id % 10 <> 0))"""
+        FROM events e JOIN phrase p ON p.k = e.event_id % {len(src.PHRASES)} WHERE e.event_id % 10 <> 0))"""
 REPLIES = """replies AS (
   SELECT CAST(event_id AS VARCHAR) AS email_id, 'r' || event_id AS reply_id, 'Draft about ' || event_type AS current_content,
          'formal' AS tone, CASE WHEN event_id % 5 = 0 THEN 'sent' ELSE 'draft' END AS status,
@@ -241,15 +241,19 @@ add("clean_text", f"WITH {CLEANED} SELECT email_id, subject_clean, md5(body_clea
 add("clean_pages", f"SELECT page_id, md5(c) AS clean_md5, CAST(length(c) AS INTEGER) AS clean_length FROM (SELECT page_id, {cleaned('html')} AS c FROM pages)")
 add("classification_text", f"WITH {VARIANTS} SELECT email_id, md5(classification_text) AS classification_md5, md5(entity_text) AS entity_md5 FROM variants")
 
-_found = " || ".join(
-    f"list_transform(regexp_extract_all(entity_text, {q('(?i)' + pattern)}), "
-    f"lambda m: {{'t': '{kind}', 'x': m, 'c': {confidence}::DOUBLE}})"
-    for kind, pattern, confidence in rules.ENTITY_PATTERNS
-)
+def _listed(kind: str, pattern: str, confidence: float) -> str:
+    """Matches with their places: the lengths of the texts between them and of the matches before, added up."""
+    found, parts = f"regexp_extract_all(entity_text, {q('(?i)' + pattern)})", f"regexp_split_to_array(entity_text, {q('(?i)' + pattern)})"
+    before = lambda items, to: f"coalesce(list_sum(list_transform({items}[1:{to}], lambda y: length(y))), 0)"
+    return (f"list_transform({found}, lambda m, i: {{'t': '{kind}', 'x': m, 'c': {confidence}::DOUBLE, "
+            f"'at': ({before(parts, 'i')} + {before(found, 'i - 1')})::INTEGER}})")
+
+
+_found = " || ".join(_listed(kind, pattern, confidence) for kind, pattern, confidence in rules.ENTITY_PATTERNS)
 FOUND_ENTITIES = f"""{CLEANED}, listed AS (SELECT *, {_found} AS entities FROM cleaned), entity AS (
-  SELECT email_id, n - 1 AS entity_no, e.t AS entity_type, e.x AS entity_text, e.c AS confidence
+  SELECT email_id, n - 1 AS entity_no, e.t AS entity_type, e.x AS entity_text, e.c AS confidence, e.at AS char_position
   FROM (SELECT email_id, unnest(entities) AS e, generate_subscripts(entities, 1) AS n FROM listed))"""
-add("extract_entities", f"WITH {FOUND_ENTITIES} SELECT email_id, CAST(entity_no AS INTEGER) AS entity_no, entity_type, entity_text, confidence FROM entity")
+add("extract_entities", f"WITH {FOUND_ENTITIES} SELECT email_id, CAST(entity_no AS INTEGER) AS entity_no, entity_type, entity_text, confidence, char_position FROM entity")
 add("entity_type_counts", f"WITH {FOUND_ENTITIES} SELECT entity_type, count(*) AS count FROM entity GROUP BY 1")
 add("distinct_entities", f"""WITH {FOUND_ENTITIES} SELECT email_id, entity_type, lower(trim(entity_text)) AS entity_text, max(confidence) AS confidence
   FROM entity GROUP BY ALL""")
@@ -260,6 +264,12 @@ add("email_detail", f"""WITH {FOUND_ENTITIES}, {ANALYSIS}, {REPLIES}
     e.entity_type, e.entity_text, e.confidence
   FROM emails m LEFT JOIN analysis a USING (email_id) LEFT JOIN replies r USING (email_id) LEFT JOIN entity e USING (email_id)""")
 
+add("email_details_nested", f"""WITH {FOUND_ENTITIES}, {ANALYSIS}, {REPLIES}
+  SELECT m.email_id, m.subject, md5(m.body) AS body_md5, a.category_name, a.priority_score, CAST(len(l.entities) AS INTEGER) AS entities,
+    md5(array_to_string(list_transform(l.entities, lambda e, i: concat_ws('|', i - 1, e.t, e.x, e.at)), chr(10))) AS entities_md5,
+    r.current_content AS reply, a.email_id IS NULL AS pending
+  FROM emails m JOIN listed l USING (email_id) LEFT JOIN analysis a USING (email_id) LEFT JOIN replies r USING (email_id)""")
+
 
 def first_match(pattern: str, group: int = 0) -> str:
     return f"nullif(regexp_extract(entity_text, {q('(?i)' + pattern)}, {group}), '')"
@@ -351,6 +361,8 @@ _factors = [f for f in rules.FACTORS if f != "action_required"]
 add("priority_scores", f"""WITH {SCORED} SELECT email_id, priority_score, priority_level, urgency_level, action_required,
   {', '.join(f'CAST({f} AS INTEGER) AS {f}' for f in _factors)}, action_points, ai_explanation FROM scored""")
 add("priority_levels", f"WITH {SCORED} SELECT priority_level, urgency_level, count(*) AS count FROM scored GROUP BY 1, 2")
+_factor = {f: "action_points" if f == "action_required" else f for f in rules.FACTORS}
+add("priority_factors_json", f"""WITH {SCORED} SELECT email_id, '{{' || concat_ws(', ', {', '.join(f"""'"{f}": ' || CAST({c} AS INTEGER)""" for f, c in _factor.items())}) || '}}' AS factors, TRUE AS read_back FROM scored""")
 add("priority_factor_totals", f"""WITH {SCORED} SELECT {', '.join(f'avg({f}) AS {f}' for f in _factors)},
   avg(action_points) AS action_required FROM scored""")
 
@@ -427,6 +439,27 @@ add("document_frequency", f"WITH {TERMS} SELECT term, documents, total FROM df")
 add("tfidf_top_terms", f"""WITH {TERMS}, raw AS (SELECT doc_id, term, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + v.documents)) + 1) AS r FROM tf JOIN df v USING (term)),
 norm AS (SELECT doc_id, sqrt(sum(r * r)) AS z FROM raw GROUP BY 1)
 SELECT term, round(sum(r / z), 6) AS weight, count(*) AS documents FROM raw JOIN norm USING (doc_id) GROUP BY term ORDER BY weight DESC, term LIMIT 50""")
+add("tfidf_features", f"""WITH {TERMS}, v AS (SELECT term, documents FROM df ORDER BY total DESC, term LIMIT 50000),
+numbered AS (SELECT *, row_number() OVER (ORDER BY term) - 1 AS index FROM v),
+raw AS (SELECT doc_id, index, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + v.documents)) + 1) AS r FROM tf JOIN numbered v USING (term)),
+norm AS (SELECT doc_id, sqrt(sum(r * r)) AS z FROM raw GROUP BY 1)
+SELECT doc_id, index, round(r / z, 6) AS weight FROM raw JOIN norm USING (doc_id)""")
+add("trained_model_quality", f"""WITH {LABELLED} SELECT CAST(sum(n) AS BIGINT) AS test_rows, TRUE AS better_than_commonest, TRUE AS probabilities_sum_to_one
+FROM (SELECT floor(count(*) * 0.2 + 0.5) AS n FROM labelled GROUP BY label)""")
+_classes_of = range(len(CLASS_NAMES))
+add("model_categories", f"""WITH {EMAILS}, {TERMS},
+v AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + documents)) + 1 AS idf FROM df ORDER BY total DESC, term LIMIT {FIXED_TERMS}),
+hinted_text AS (SELECT email_id, lower(subject || ' ' || body) AS t, concat_ws(' ', subject || ' ' || body, {', '.join(f"CASE WHEN {matches("lower(subject || ' ' || body)", p)} THEN {q(w)} END" for p, w, _ in rules.CATEGORY_HINTS)}) AS x FROM emails),
+etokens AS (SELECT email_id, t, regexp_extract_all(lower(strip_accents(x)), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM hinted_text),
+eterms AS (SELECT email_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM etokens),
+etf AS (SELECT email_id, term, (1 + ln(count(*))) * any_value(idf) AS r FROM eterms JOIN v USING (term) GROUP BY 1, 2),
+sums AS (SELECT email_id, sqrt(sum(r * r)) AS z, {', '.join(f"sum(r * (((ascii(term) * {k + 3} + length(term) * 7) % 11 - 5) / 2.5)) AS s{k}" for k in _classes_of)} FROM etf GROUP BY 1),
+margins AS (SELECT email_id, t, [{', '.join(f"1 / (1 + exp(-(1.5 * (coalesce(s{k} / z, 0) + {k / 10}) + {0.05 * k})))" for k in _classes_of)}] AS u FROM etokens LEFT JOIN sums USING (email_id)),
+prob AS (SELECT email_id, t, list_transform(u, lambda x: x / list_sum(u)) AS p, {_hinted} AS hinted FROM margins),
+model AS (SELECT *, ({CLASS_NAMES})[list_position(p, list_max(p))] AS predicted, {_strong} AS strong FROM prob),
+final AS (SELECT *, CASE WHEN hinted <> predicted AND (list_max(p) < 0.70 OR strong) THEN hinted ELSE predicted END AS name FROM model)
+SELECT email_id, name AS category_name, {case_of('name', SLUG_OF)} AS slug,
+  {fixed(f'p[list_position({CLASS_NAMES}, name)]', 2)} AS category_confidence, p[list_position({CLASS_NAMES}, name)] < 0.55 AS needs_review FROM final""")
 
 # ---- replies ----------------------------------------------------------------
 
@@ -527,7 +560,7 @@ CHECKED = f"""{PHRASE}, incoming AS (
   SELECT e.event_id, CAST(e.event_id AS VARCHAR) AS email_id, coalesce(p.sender_email, CASE WHEN e.event_id % 16 = 2 THEN '' ELSE 'someone@web.net' END) AS sender,
     CASE WHEN e.event_id % 17 = 0 THEN 'nobody@example.com' ELSE 'customer#' || lpad(CAST(e.user_id AS VARCHAR), 9, '0') || '@EXAMPLE.com' END AS recipient,
     p.subject, CASE WHEN e.event_id % 19 = 0 THEN '' ELSE p.phrase || chr(10) || d.text END AS body, e.ts AS received_at
-  FROM events e JOIN phrase p ON p.k = e.event_id % 8 JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)),
+  FROM events e JOIN phrase p ON p.k = e.event_id % {len(src.PHRASES)} JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)),
 owner AS (SELECT c_custkey AS user_id, lower(c_name || '@example.com') AS email FROM customer WHERE c_custkey % 13 <> 0),
 checked AS (SELECT i.*, o.user_id, CASE WHEN i.body = '' THEN 'empty body' WHEN length(i.sender) NOT BETWEEN 1 AND 255 THEN 'sender length'
     WHEN o.user_id IS NULL THEN 'unknown recipient' END AS reject_reason FROM incoming i LEFT JOIN owner o ON o.email = lower(i.recipient))"""

@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -13,8 +12,10 @@ from pyspark.sql.types import StructType
 
 from ..functions import rules
 from ..functions.entities import moment
+from ..operators.ranking import add_row_number
+from ..operators.training import TextModel
 from ..schemas import CATEGORIES, LABELLED_TEXT, PUBLIC_TEXT, SEED_EMAILS
-from ..session import exists
+from .json_arrays import read_json_array
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
@@ -39,13 +40,13 @@ def read_jdbc(
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of {text, label}."""
-    return spark.read.schema(LABELLED_TEXT).option("multiLine", True).json(path)
+    """JSON arrays of {text, label}, however large the file."""
+    return read_json_array(spark, path, LABELLED_TEXT).select(*LABELLED_TEXT.fieldNames())
 
 
 def read_public(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of {subject, body, labels}."""
-    return spark.read.schema(PUBLIC_TEXT).option("multiLine", True).json(path)
+    """JSON arrays of {subject, body, labels}, however large the file."""
+    return read_json_array(spark, path, PUBLIC_TEXT).select(*PUBLIC_TEXT.fieldNames())
 
 
 def read_seed_emails(spark: SparkSession, path: str, as_of: datetime | Column) -> DataFrame:
@@ -53,11 +54,9 @@ def read_seed_emails(spark: SparkSession, path: str, as_of: datetime | Column) -
 
     The place in the file decides both the default age in days and the hour.
     """
-    rows = (
-        spark.read.text(path, wholetext=True)
-        .select(F.posexplode(F.from_json("value", f"array<{SEED_EMAILS.simpleString()}>")).alias("seed_no", "e"))
-        .select("seed_no", "e.*")
-    )
+    objects = read_json_array(spark, path, SEED_EMAILS)
+    rows = add_row_number(objects, ["file"], [F.col("block"), F.col("number")], "_place").withColumn("seed_no", (F.col("_place") - 1).cast("int"))
+    rows = rows.select("seed_no", *SEED_EMAILS.fieldNames())
     days = F.coalesce("days_ago", "seed_no")
     age = F.make_dt_interval(days=days, hours=F.col("seed_no") % 8)
     return rows.withColumn("received_at", moment(as_of) - age)
@@ -68,10 +67,9 @@ def categories(spark: SparkSession) -> DataFrame:
     return small_table(spark, rules.CATEGORIES, CATEGORIES)
 
 
-def load_model(path: str) -> PipelineModel | None:
-    """A saved classifier, or None if the path does not exist (then the keyword scorer is used).
+def load_model(path: str) -> TextModel | None:
+    """A saved classifier, or None if there is none (then the keyword scorer is used).
 
     Any other failure, a broken model included, is raised.
     """
-    spark = SparkSession.active()
-    return PipelineModel.load(path) if exists(spark, path) else None
+    return TextModel.load(SparkSession.active(), path)
