@@ -33,6 +33,8 @@ from postmill.session import written
 SKETCH_CELLS, SKETCH_BLOCK = 1 << 22, 1 << 16
 #: Rounds of comparing with leaders before what is left is compared pair by pair.
 ROUNDS = 3
+#: Lists of pair keys longer than this are not joined; their sets are compared by single keys.
+LONG = 64
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -151,7 +153,7 @@ def _least(n, threshold: int):
 
 
 def _keys(docs: DataFrame, levels, light: int, threshold: int, width: int) -> DataFrame:
-    """Index rows ``key, node, n`` of the classes' first documents."""
+    """Index rows ``key, node, n`` of the classes' first documents; ``light`` below 0: single keys of all."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, level = _Hashes(), levels.value
@@ -212,15 +214,27 @@ def _needed(threshold: int) -> str:
     return f"(ceil({threshold} * (n_a + n_b) / {100 + threshold}) - greatest(ceil({threshold} * n_a / 100), ceil({threshold} * n_b / 100)) + 1)"
 
 
-def _pairs_across(here: DataFrame, threshold: int) -> DataFrame:
+def _pairs_across(here: DataFrame, single_of, threshold: int) -> DataFrame:
     """Pairs ``a, b`` of different components that share enough keys of ``here`` (``key, node, n, own``).
 
-    A near pair shares a needed number of single keys.  Let every set order its
-    keys by the length of their lists: the first key that the pair shares then
-    has that many keys of either set at or behind it.  So long lists are joined
-    only for the few sets in which they come early enough.
+    Short lists of pair keys are joined.  Sets in long ones (many pages of one
+    template) are compared by their single keys, ``single_of`` the sets, like
+    heavy sets: a near pair shares a needed number of these.  Let every set order
+    its keys by the length of their lists: the first key that the pair shares
+    then has that many keys of either set at or behind it.  So a list is joined
+    only for the sets in which it comes early enough for some size of partner
+    that the list holds; which sets those are is found without pairing sets.
     """
-    single = here.where("key & 1 = 0")
+    double = here.where("key & 1 = 1")
+    lengths = written(double.groupBy("key").agg(F.count(F.lit(1)).alias("length")), "lengths")
+    double = double.join(lengths, "key")
+    crowded = written(double.where(F.col("length") > LONG).select("node", "own").distinct(), "crowded")
+    single = here.where("key & 1 = 0").select("key", "node", "n", "own")
+    if not crowded.isEmpty():
+        single = single.unionByName(single_of(crowded).join(crowded, "node").select("key", "node", "n", "own")).distinct()
+        across = single.groupBy("key").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x < y").select("key")
+        single = written(single, "singles")
+        single = single.join(written(across, "open"), "key", "left_semi")
     length = single.groupBy("key").agg(F.count(F.lit(1)).alias("length"))
     own_order = W.partitionBy("node").orderBy("length", "key")
     single = single.join(written(length, "lengths"), "key").withColumns(
@@ -230,15 +244,21 @@ def _pairs_across(here: DataFrame, threshold: int) -> DataFrame:
     def side(df: DataFrame, x: str, *more: str) -> DataFrame:
         return df.select("key", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "own", *more)))
 
-    apart = f"a < b AND own_a <> own_b AND 100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)"
-    early = f"{apart} AND least(behind_a, behind_b) >= {_needed(threshold)}"
-    found = side(single, "a", "behind").join(side(single, "b", "behind"), "key").where(early).select("a", "b", "n_a", "n_b").distinct()
+    alike = f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)"
+    apart = f"a < b AND own_a <> own_b AND {alike}"
+    early = f"least(behind_a, behind_b) >= {_needed(threshold)}"
+    # per list and size of set: how early it comes at best, and in which components
+    partners = single.groupBy("key", F.col("n").alias("n_b")).agg(F.max("behind").alias("behind_b"), F.min("own").alias("low_b"), F.max("own").alias("high_b"))
+    able = single.withColumnsRenamed({"n": "n_a", "behind": "behind_a"}).join(
+        written(partners, "partners").withColumnRenamed("key", "_key"), F.expr(f"key = _key AND (own <> low_b OR own <> high_b) AND {alike} AND {early}"), "left_semi")
+    able = written(able.withColumnsRenamed({"n_a": "n", "behind_a": "behind"}), "able")
+    found = side(able, "a", "behind").join(side(able, "b", "behind"), "key").where(f"{apart} AND {early}").select("a", "b", "n_a", "n_b").distinct()
     keys = single.groupBy("node").agg(F.collect_set("key").alias("keys"))
     for x in "ab":
         found = found.join(keys.select(F.col("node").alias(x), F.col("keys").alias(f"keys_{x}")), x)
     found = found.where(f"size(array_intersect(keys_a, keys_b)) >= {_needed(threshold)}").select("a", "b")
-    double = here.where("key & 1 = 1")
-    light = side(double, "a").join(side(double, "b"), "key").where(apart).select("a", "b")
+    short = double.where(F.col("length") <= LONG)
+    light = side(short, "a").join(side(short, "b"), "key").where(apart).select("a", "b")
     return found.unionByName(light).distinct()
 
 
@@ -299,7 +319,7 @@ def near_sets(docs: DataFrame, width: int = 3, threshold: int = 90, id_col: str
             pairs = pairs.withColumn("light", F.col("bit") == 1).where(f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, least_b)").where(_enough(threshold))
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("common", F.xxhash64("b"))).alias("b"))
         else:
-            pairs = _pairs_across(here, threshold)
+            pairs = _pairs_across(here, lambda nodes: _keys(firsts.join(nodes.select(F.col("node").alias("id")), "id", "left_semi"), levels, -1, threshold, width), threshold)
         new = _verified(written(pairs.select("a", "b"), "pairs"), docs, threshold, width)
         if new.isEmpty():
             continue
