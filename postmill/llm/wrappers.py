@@ -240,25 +240,41 @@ def aligned(a: list, b: list) -> list:
     return folded(out)
 
 
-def located(node: Node, wrapper: list, slots: list | None = None) -> list[tuple[list, str]]:
-    """(wrapper slot, text) of every text of a page, in page order.
+def _labels(kids: list) -> set[str]:
+    return {k[0] if isinstance(k, list) else k.label for k in kids}
 
-    Children are matched in order; a repeated group may be passed several times.
+
+def _place(kid: Node | list, kids: list, at: int) -> int | None:
+    """Where a page's element or text belongs among a wrapper's children, the last one having been at ``at``.
+
+    Of several children of its label an element goes to the one that knows most
+    of what it holds; then the next one counts, then the first one: a repeated
+    group begins anew.
     """
-    out: list = [] if slots is None else slots
+    label = kid[0] if isinstance(kid, list) else kid.label
+    fit = [k for k in range(len(kids)) if kids[k][0] == label]
+    if len(fit) > 1 and not isinstance(kid, list):
+        held = _labels(kid.kids)
+        known = {k: len(held & _labels(kids[k][2])) for k in fit}
+        fit = [k for k in fit if known[k] == max(known.values())]
+    return next((k for k in fit if k >= at), fit[0] if fit else None)
+
+
+def located(node: Node, wrapper: list | None, outside: int = 0, main: int = 0, out: list | None = None) -> list[tuple[list | None, str, int]]:
+    """(wrapper slot, text, decision by position alone) of every text of a page, in page order.
+
+    Every text comes back: one that the wrapper has no place for has no slot.
+    """
+    out = [] if out is None else out
     at = 0
     for kid in node.kids:
-        label = kid[0] if isinstance(kid, list) else kid.label
-        here = next((k for k in range(at, len(wrapper[2])) if wrapper[2][k][0] == label), None)
-        if here is None:
-            here = next((k for k in range(len(wrapper[2])) if wrapper[2][k][0] == label), None)
-        if here is None:
-            continue
-        at = here
+        here = None if wrapper is None else _place(kid, wrapper[2], at)
+        at = at if here is None else here
+        inner = None if here is None else wrapper[2][here]
         if isinstance(kid, list):
-            out.append((wrapper[2][here], kid[1]))
+            out.append((inner, kid[1], _by_place(kid[0] == LINK, outside, main)))
         else:
-            located(kid, wrapper[2][here], out)
+            located(kid, inner, *_inside(kid.label, outside, main), out)
     return out
 
 
@@ -268,21 +284,28 @@ MAIN, LOOSE, NEVER = 2, 1, 0
 IN, MARKED, OUT = 0, 1, 2
 
 
+def _inside(label: str, outside: int, main: int) -> tuple[int, int]:
+    """What leaves out the children of an element, and the decision on article text there, if it is any."""
+    tag = label.rstrip("!*")
+    article = (tag in ("article", "main") or label.endswith("*")) and not label.endswith("!")
+    off = max(outside, OUT if label.endswith("!!") or tag in OUTSIDE or tag == "header" and not main else MARKED if label.endswith("!") else IN)
+    main = (LOOSE if off == MARKED else main or MAIN) if article else main
+    return IN if article and off == MARKED else off, main
+
+
+def _by_place(template: bool, outside: int, main: int) -> int:
+    return NEVER if outside else main if main else NEVER if template else LOOSE
+
+
 def decide(wrapper: list, outside: int = IN, main: int = NEVER, found: dict | None = None) -> dict[int, int]:
     """Decision on every slot of a wrapper, by the identity of the slot; ``main`` is that of article text here, if it is any."""
     found = {} if found is None else found
     for kid in wrapper[2]:
-        label = kid[0]
-        if label in (TEXT, LINK):
+        if kid[0] in (TEXT, LINK):
             low, high, pages = kid[2] or (0, 1, ())
-            template = len(pages) >= PAGES and low == high or label == LINK
-            found[id(kid)] = NEVER if outside else main if main else NEVER if template else LOOSE
-            continue
-        tag = label.rstrip("!*")
-        article = (tag in ("article", "main") or label.endswith("*")) and not label.endswith("!")
-        off = max(outside, OUT if label.endswith("!!") or tag in OUTSIDE or tag == "header" and not main else MARKED if label.endswith("!") else IN)
-        inside = (LOOSE if off == MARKED else main or MAIN) if article else main
-        decide(kid, IN if article and off == MARKED else off, inside, found)
+            found[id(kid)] = _by_place(len(pages) >= PAGES and low == high or kid[0] == LINK, outside, main)
+        else:
+            decide(kid, *_inside(kid[0], outside, main), found)
     return found
 
 
@@ -318,7 +341,7 @@ def infer(pages: DataFrame, partial_groups: int = 16) -> DataFrame:
                 order = {id(s): i for i, s in enumerate(_slots(shape))}
                 text, whole = json.dumps(shape), _hash(page)
                 slots = by.setdefault((host, text), {})
-                for slot, words in located(tree, shape) or [(None, "")]:
+                for slot, words, _ in located(tree, shape) or [(None, "", NEVER)]:
                     at, h = order[id(slot)] if slot else -1, _hash(words)
                     known = slots.get(at)
                     if known is None:
@@ -393,7 +416,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     wrapper = json.loads(text)
                     known[text] = wrapper, decide(wrapper)
                 wrapper, decision = known[text]
-                found = [(decision[id(slot)], words) for slot, words in located(parse(page), wrapper)]
+                found = [(decision[id(slot)] if slot else place, words) for slot, words, place in located(parse(page), wrapper)]
                 level = MAIN if any(d == MAIN for d, _ in found) else LOOSE
                 texts.append("\n".join(words for d, words in found if d == level))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])

@@ -88,3 +88,41 @@ def test_wrapper_is_a_union_free_expression():
     both = wrappers.aligned(one[2], two[2])
     assert [(k[0], k[1]) for k in both] == [("h1", "?"), ("ul", ""), ("p", "?")]
     assert both[1][2][0][:2] == ["li", "+"]
+
+
+def test_divs_that_differ_in_what_they_hold_keep_their_place(spark):
+    page = "<article><div><h2>A{0}</h2></div><p>one{0}</p><div><h2>B{0}</h2></div><p>two{0}</p><ul><li>x{0}</li></ul><div><blockquote>z{0}</blockquote></div></article>"
+    want = "A{0}\none{0}\nB{0}\ntwo{0}\nx{0}\nz{0}"
+    for tag in ("div", "section"):
+        pages = [page.format(i).replace("<div", f"<{tag}").replace("</div", f"</{tag}") for i in range(4)]
+        assert text_of(spark, *pages) == [want.format(i) for i in range(4)]
+
+
+def _texts(node):
+    for kid in node.kids:
+        if isinstance(kid, list):
+            yield kid[1]
+        else:
+            yield from _texts(kid)
+
+
+def test_every_text_of_a_page_comes_back():
+    import random
+
+    rng = random.Random(8)
+
+    def block(depth):
+        tag = rng.choice(["div", "section", "p", "ul", "blockquote", "h2"] if depth else ["p", "h2", "li"])
+        inner = "".join(block(depth - 1) if rng.random() < 0.6 else f"t{rng.randrange(10**9)} " for _ in range(rng.randint(1, 4))) if depth else f"t{rng.randrange(10**9)}"
+        return f"<{tag}>{inner}</{tag}>"
+
+    trees = [wrappers.parse("<article>" + "".join(block(3) for _ in range(rng.randint(1, 4))) + "</article>") for _ in range(60)]
+    whole = None
+    for tree in trees[:40]:  # the others were not seen when the wrapper was made
+        one = wrappers.skeleton(tree)
+        whole = one if whole is None else wrappers._merge(whole, one)
+    for tree in trees:
+        for wrapper in (whole, wrappers.skeleton(tree), None):
+            assert [t for _, t, _ in wrappers.located(tree, wrapper)] == list(_texts(tree))
+        own = wrappers.skeleton(tree)
+        assert all(slot is not None for slot, _, _ in wrappers.located(tree, own))
