@@ -95,9 +95,11 @@ def mix(
     new = ("size", "source_size", "target", "taken", "pieces")
     docs = docs.drop(*new)
     spark = docs.sparkSession
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
-    order = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col))
-    narrow = written(sized.select(F.col(source_col).alias("source"), "size", order.alias("place")), "mix-sizes")
+    # the caller's columns travel as one, so that no name of theirs meets one of these
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    place = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col))
+    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), size.alias("size"), place.alias("place"))
+    narrow = written(sized.drop("row"), "mix-sizes")
     found = narrow.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -109,19 +111,18 @@ def mix(
     plan = [(r["source"], r["words"], t, -(-r["n"] // slice_rows), e.tolist()) for r, t, e in zip(found, wanted, ends)]
     table = F.broadcast(spark.createDataFrame(plan, "_source string, source_size long, target double, _slices long, _ends array<long>"))
 
-    def sliced(df: DataFrame, source: str, place: str) -> DataFrame:
-        out = df.join(table, F.col(source).eqNullSafe(F.col("_source")))
-        return out.withColumn("_slice", F.pmod(F.shiftrightunsigned(place, 1), F.col("_slices")))
+    def sliced(df: DataFrame) -> DataFrame:
+        out = df.join(table, F.col("source").eqNullSafe(F.col("_source")))
+        return out.withColumn("_slice", F.pmod(F.shiftrightunsigned("place", 1), F.col("_slices")))
 
     before = W.partitionBy("_source").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        sliced(narrow, "source", "place").groupBy("_source", "_slice").agg(F.sum("size").alias("_words"))
+        sliced(narrow).groupBy("_source", "_slice").agg(F.sum("size").alias("_words"))
         .select(F.col("_source").alias("_of"), F.col("_slice").alias("_at"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
     )
-    within = W.partitionBy("_source", "_slice").orderBy("_place", F.col(id_col)).rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("_source", "_slice").orderBy("place", F.col(f"row.{id_col}")).rowsBetween(W.unboundedPreceding, -1)
     laid = (
-        sliced(sized.withColumn("_place", order), source_col, "_place")
-        .withColumn("_first", F.coalesce(F.sum("size").over(within), F.lit(0)))
+        sliced(sized).withColumn("_first", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(starts, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_slice") == F.col("_at")))
         .withColumn("_first", F.col("_first") + F.col("_start"))
     )
@@ -130,9 +131,9 @@ def mix(
         'shard', int(s), 'epoch', e,
         'first_word', greatest(if(s = 0, 0L, _ends[s - 1]) - _first - e * source_size, 0L),
         'words', least(end - _first - e * source_size, size) - greatest(if(s = 0, 0L, _ends[s - 1]) - _first - e * source_size, 0L),
-        'place', xxhash64(_place, s, e))))), p -> p.words > 0)""")
+        'place', xxhash64(place, s, e))))), p -> p.words > 0)""")
     laid = laid.withColumn("pieces", pieces).withColumn("taken", F.expr("aggregate(pieces, 0L, (n, p) -> n + p.words)"))
-    return laid.select(*docs.columns, *new)
+    return laid.select("row.*", *new)
 
 
 def drawn(mixed: DataFrame, columns: list[str]) -> DataFrame:

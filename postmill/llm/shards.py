@@ -73,7 +73,7 @@ def shard(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.01, id_col: s
     """
     docs = docs.drop("shard_size", "shard", "slot")
     taken = {c.lower() for c in docs.columns}
-    key, tie, row, part = (_free(n, taken) for n in ("_key", "_tie", "_row", "_part"))
+    key, tie, row, part, before = (_free(n, taken) for n in ("_key", "_tie", "_row", "_part", "_before"))
     narrow = docs.select(
         F.xxhash64(F.col(text_col)).alias("key"), F.xxhash64(F.col(id_col), F.lit(1)).alias("tie"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
@@ -107,10 +107,9 @@ def shard(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.01, id_col: s
     counts = (
         narrow.withColumnsRenamed({"key": key, "tie": tie}).withColumns({"shard": shard_no, part: F.pmod(F.xxhash64(tie, key, F.lit(2)), F.lit(parts)).cast("int")})
         .groupBy("shard", part).agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.sum("_n").over(W.partitionBy("shard").orderBy(part).rowsBetween(W.unboundedPreceding, -1)))
-        .select("shard", part, F.coalesce("_before", F.lit(0)).alias("_before"))
+        .select("shard", part, F.coalesce(F.sum("_n").over(W.partitionBy("shard").orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before))
     )
-    return placed.join(counts, ["shard", part]).withColumn("slot", F.col("_before") + F.col(row) - 1).select(*docs.columns, "shard_size", "shard", "slot")
+    return placed.join(counts, ["shard", part]).withColumn("slot", F.col(before) + F.col(row) - 1).select(*docs.columns, "shard_size", "shard", "slot")
 
 
 def _free(name: str, taken: set[str]) -> str:

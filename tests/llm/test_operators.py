@@ -51,7 +51,8 @@ def none(spark):
 
 def clashing(df):
     """Extra columns with names that operators use for themselves."""
-    for c in ("id", "key", "n", "size", "target", "taken", "pieces", "shard", "slot", "quality_score", "raw", "host", "copy"):
+    for c in ("id", "key", "n", "size", "target", "taken", "pieces", "shard", "slot", "quality_score", "raw", "host", "copy",
+              "_source", "_ends", "_of", "_at", "_slice", "_slices", "_first", "_place", "_start", "_before", "_key", "_tie", "_row", "_part", "row", "place"):
         df = df.selectExpr("*", f"'x' AS {c}")
     return df
 
