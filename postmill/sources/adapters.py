@@ -19,7 +19,7 @@ AS_OF = datetime(2024, 1, 31, tzinfo=timezone.utc)
 
 #: (k, subject, body, sender address, category slug): joined to the invented
 #: prose, which would hardly trigger any rule on its own
-_WRITTEN = [
+WRITTEN = [
     (0, "Interview scheduled tomorrow", "Please confirm your slot for the interview.", "hr@acme.com", "job_career"),
     (1, "URGENT security alert", "Unauthorized access detected. Verify your account immediately.",
      "alerts@mybank.com", "finance_banking"),
@@ -34,7 +34,7 @@ _WRITTEN = [
      None, "ecommerce_shopping"),
 ]
 #: Texts for the signals whose patterns are more than words in order, and texts that just miss one.
-_SIGNALS = [
+SIGNALS = [
     "It is due by end of day.", "Send it by EOD please.", "We close by close of business.", "Upload it before midnight.", "Within 24 hours.",
     "The day after tomorrow at the latest.", "You have within 48 hours.", "It ends in 2 days.", "It ends in two days.", "Sometime this week.",
     "Come within a week.", "Pay by Monday.", "Pay before Saturday.", "Reply by March 12.", "It is due on arrival.", "It is due before noon.",
@@ -44,11 +44,11 @@ _SIGNALS = [
     "The exam is scheduled.", "Meeting confirmed.", "A scheduled appointment.", "See you at 5 pm.", "Be there on 11:30 am.", "The meeting starts at 14:05.",
     "Tomorrow we have an interview.", "There was unusual login.", "Your account locked.", "A suspicious transaction.", "Verification account.",
     "Verify your identity.", "It expires tonight.", "Only 12 hours left.", "Last chance.", "Limited time.", "Don't miss it.", "Final reminder.",
-    "This is overdue.", "Seen yesterday, on Sunday and on 7-8-24.", "Signed Sept 3rd, 2024 and dec 12 2023.", "At 9:15pm or 7 am.",
+    "This is overdue.", "Send it by tomorrow.", "A suspicious login.", "Seen yesterday, on Sunday and on 7-8-24.", "Signed Sept 3rd, 2024 and dec 12 2023.", "At 9:15pm or 7 am.",
     "It costs $5, ₹1,20,000.50 or £30.00.", "Kindly review the draft by Friday.", "Please provide the list within a day.", "Please approve it...",
     "please submit THE REPORT in time", "Time-sensitive: prompt answer without delay, right away, as soon as possible.",
 ]
-_NEAR = [
+NEAR = [
     "The todays and tomorrows.", "It is by the end of daytime.", "Within 480 hours.", "It ends in 22 days.", "By sundays.", "By mondayish.",
     "Pleases confirm.", "Action is required.", "Kindlysubmit it.", "Verify identities.", "Leave granted.", "Examscheduled.", "See you at 555 pm.",
     "Unauthorizedly accessing.", "Accounting blocked.", "Expired by nobody.", "Only some days left.", "Lastly chances.", "Dont miss.", "Overdues.",
@@ -70,10 +70,10 @@ def _all_phrases() -> list[tuple]:
     texts += ["All of " + ", ".join(words) for words in rules.CATEGORY_KEYWORDS.values()]
     texts += [f"The {word} again" for pattern, _, _ in rules.CATEGORY_HINTS for word in pattern[3:-3].split("|")]
     texts += [f"It is {word}." for word in rules.URGENCY_WORDS]
-    texts += _SIGNALS + _NEAR + [text.upper() for text in _SIGNALS[::3]]
+    texts += SIGNALS + NEAR + [text.upper() for text in SIGNALS[::3]]
     slugs = [slug for _, slug, _, _ in rules.CATEGORIES]
     made = [("Note" if n % 3 else text, text + "\n" if n % 4 else text, _SENDERS[n % len(_SENDERS)], slugs[n % len(slugs)]) for n, text in enumerate(texts)]
-    return _WRITTEN + [(len(_WRITTEN) + n, *row) for n, row in enumerate(made)]
+    return WRITTEN + [(len(WRITTEN) + n, *row) for n, row in enumerate(made)]
 
 
 PHRASES = _all_phrases()

@@ -1,9 +1,11 @@
+import re
+
 from conftest import AS_OF
 from pyspark.sql import functions as F
 
 from postmill.functions import rules
 from postmill.operators import classify, enrich
-from postmill.sources.adapters import PHRASES
+from postmill.sources.adapters import PHRASES, WRITTEN
 
 FACTORS = [
     ([0, 22, 15, 9, 10, 0, 0, 5], 61, "medium", "elevated"), ([10, 0, 15, 10, 0, 10, 0, 5], 50, "medium", "normal"),
@@ -18,7 +20,7 @@ CATEGORIES = ["Job / Career", "Finance / Banking", "Promotions / Marketing", "Jo
 
 
 def phrase_mails(emails):
-    return emails(*[(subject, body, sender, slug) for _, subject, body, sender, slug in PHRASES])
+    return emails(*[(subject, body, sender, slug) for _, subject, body, sender, slug in WRITTEN])
 
 
 def test_priority_of_phrases(emails):
@@ -113,3 +115,39 @@ def test_hints_over_a_model(spark):
         ("Work / Professional", 0.03, True), ("Customer Support", 0.9, False), ("Work / Professional", 0.0, True),
         ("Job / Career", 1.0, False), ("Education", 0.5, True)]
     assert classify.add_hints(df, "text", "o").orderBy("n").first().o == "project meeting work professional"
+
+
+def all_mails(emails):
+    return emails(*[(subject, body, sender, slug) for _, subject, body, sender, slug in PHRASES])
+
+
+def test_phrases_trigger_every_rule(emails):
+    """Plain regular expressions over the same texts; each rule has a text that it fires on and texts that it does not."""
+    texts = [f"{subject} {body}" for _, subject, body, _, _ in PHRASES]
+    hits = lambda pattern: sum(bool(re.search(pattern, t.lower())) for t in texts)
+    signals = [p for patterns, _, _ in rules.DEADLINE_TIERS for p in patterns]
+    signals += [*rules.ACTION_PATTERNS, *rules.EVENT_PATTERNS, *rules.SECURITY_PATTERNS, *rules.TIME_SENSITIVE_PATTERNS]
+    signals += [p for p, _, _ in rules.INTENTS] + [p for p, _, _ in rules.CATEGORY_HINTS] + list(rules.STRONG_PHRASES.values())
+    signals += [p for _, p, _ in rules.ENTITY_PATTERNS]
+    signals += [rules.DEADLINE_TWO_DAYS, rules.DEADLINE_48_HOURS, rules.DEADLINE_TOMORROW, rules.DEADLINE_WEEKDAY, rules.REQUEST_PATTERN]
+    assert all(0 < hits(p) < len(texts) for p in signals), [p for p in signals if not hits(p)]
+    assert all(any(word in t.lower() for t in texts) for words in rules.CATEGORY_KEYWORDS.values() for word in words)
+    assert {slug for *_, slug in PHRASES} == {slug for _, slug, _, _ in rules.CATEGORIES}
+
+
+def test_intents_of_all_phrases(emails):
+    expected = {}
+    for i, (_, subject, body, _, slug) in enumerate(PHRASES):
+        found = [(-priority, n, label) for n, (pattern, label, priority) in enumerate(rules.INTENTS) if re.search(pattern, f"{subject} {body}", re.I)]
+        expected[str(i)] = min(found)[2] if found else rules.INTENT_BY_CATEGORY.get(slug, rules.DEFAULT_INTENT)
+    got = {r.email_id: r.intent for r in enrich.add_intent(all_mails(emails)).collect()}
+    assert got == expected
+    # an intent is missing only if a text with all it needs always has one of higher priority too
+    assert len({label for _, label, _ in rules.INTENTS} - set(got.values())) <= 3
+
+
+def test_entities_of_all_phrases(emails):
+    rows = enrich.add_entity_text(all_mails(emails)).select("email_id", "entity_text").collect()
+    expected = [(r.email_id, kind, m.group(), m.start()) for r in rows for kind, pattern, _ in rules.ENTITY_PATTERNS for m in re.finditer(pattern, r.entity_text, re.I)]
+    got = [(r.email_id, r.entity_type, r.entity_text, r.char_position) for r in enrich.extract_entities(all_mails(emails)).collect()]
+    assert sorted(got) == sorted(expected) and {kind for _, kind, _, _ in got} == {"DATE", "TIME", "MONEY"}
