@@ -22,6 +22,20 @@ def _level(name: str, key: str, parent: str, mean: str) -> str:
 _WORDS = "array_to_string(list_slice(words, {}, {}), ' ')"
 
 SQL = {
+    "op4_ngram_join": f"""
+        WITH RECURSIVE parts AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[\\x20\\x09-\\x0D]'), lambda x: x <> '') AS words FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END AS shingles FROM parts
+        ), sized AS (SELECT doc_id, len(shingles) AS n FROM sets),
+        each AS MATERIALIZED (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+        common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM each a JOIN each b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT x, y FROM common JOIN sized p ON p.doc_id = x JOIN sized q ON q.doc_id = y WHERE 100 * shared >= 90 * (p.n + q.n - shared)),
+        edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reached AS (SELECT doc_id, doc_id AS other FROM sized UNION SELECT reached.doc_id, edges.y FROM reached JOIN edges ON edges.x = reached.other)
+        SELECT doc_id, n AS n_shingles, min(other) AS component_id FROM reached JOIN sized USING (doc_id) GROUP BY ALL
+    """,
     "op13_phrases": f"""
         WITH pieces AS (
             SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_LOWER}), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
