@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
 #: Settings that change results or plans.  They are safe on a cluster: nothing
 #: here names a host, a core count or a path.
 SETTINGS = {
@@ -67,7 +72,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     times; unlike a local checkpoint it outlives a lost executor.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch.get() or work_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -78,13 +83,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
-def remove_work(spark: SparkSession) -> None:
-    """Delete what this application wrote with ``written``; call it after the results are stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable, keeping a folder that is already set."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+def remove_work(spark: SparkSession) -> None:
+    """Delete what this application wrote with ``written``; call it after the results are stored."""
+    remove(spark, work_folder(spark))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables ``written`` in this block are deleted at its end: store its result, by other means, within it."""
+    folder = f"{work_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        remove(spark, folder)
