@@ -129,3 +129,48 @@ def test_trend_reads_only_its_days(spark, tables, tmp_path):
     plan = trend._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(received_date" in plan and "(received_date" in plan.split("PartitionFilters")[1]
     assert sorted(map(tuple, trend.collect())) == sorted(map(tuple, analytics.trend_daily_volume(tables[0], AS_OF, 7).collect()))
+
+
+def test_page_of_all_by_spans(spark, monkeypatch):
+    """Ranks over ties, a crowded second and rows without time; little more than the page is sorted."""
+    import random
+
+    monkeypatch.setattr(inbox, "FEW_ROWS", 40)
+    rng = random.Random(7)
+    times = [f"2024-01-{rng.randint(1, 28):02d} {rng.randint(0, 23):02d}:{rng.randint(0, 59):02d}:{rng.randint(0, 59):02d}" for _ in range(3000)]
+    times += ["2024-01-15 12:00:00"] * 300 + [None] * 90
+    rows = [(f"e{i:05d}", t, f"s{i}") for i, t in enumerate(times)]
+    items = spark.createDataFrame(rows, "email_id string, time string, subject string").withColumn("received_at", F.col("time").cast("timestamp")).repartition(5)
+    dated = sorted((r for r in rows if r[1]), key=lambda r: r[0])
+    dated.sort(key=lambda r: r[1], reverse=True)
+    order = [r[0] for r in dated] + [r[0] for r in sorted(rows) if r[1] is None]
+    for page in (1, 2, 30, 75, 166, 167, 169, 170, 400):
+        got = [r.email_id for r in inbox.inbox_page(items, page, 20, by=None).collect()]
+        assert got == order[(page - 1) * 20 : page * 20], page
+    for first in (0, 600, 3100):
+        span, before = inbox._span_of_ranks(items, first, first + 20)
+        assert items.filter(span).count() <= 0.02 * len(rows) + 20 and before <= first
+
+
+def test_nested_details_move_no_email(spark):
+    from postmill.operators import enrich
+    from postmill.sources import adapters as src
+    from postmill.sources import sinks
+
+    sf = "/root/testdata/sf0.001"
+    parts = [src.emails(spark, sf).drop("slug"), src.analysis(spark, sf).drop("slug"), enrich.extract_entities(src.emails(spark, sf)), src.replies(spark, sf).drop("reply_id")]
+    tables = [sinks.write_bucketed(df, f"nested_{i}", buckets=4) for i, df in enumerate(parts)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nested = inbox.nested_details(*tables)
+        assert "Exchange" not in nested._jdf.queryExecution().executedPlan().toString()
+        rows = nested.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for i in range(len(tables)):
+            spark.sql(f"DROP TABLE nested_{i}")
+    assert len(rows) == parts[0].count() == len({r.email_id for r in rows})
+    assert sum(len(r.entities) for r in rows) == parts[2].count() > 0
+    assert all([e.entity_no for e in r.entities] == list(range(len(r.entities))) for r in rows)
+    assert sum(r.analysis is not None for r in rows) == parts[1].count() and sum(r.reply is not None for r in rows) == parts[3].count()
