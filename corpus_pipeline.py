@@ -21,7 +21,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality label is likelier 1 than 0."""
+    """Documents whose quality label is likelier 1 than 0.
+
+    A null or empty text is scored as one without words.  Repeated rows get one
+    score and stay or go together.
+    """
     docs = docs.select(*COLUMNS)
     scored = quality.score(docs, catalog.quality_model(spark, docs, sf_dir))
     return scored.where("quality_score >= 0.5").select(*COLUMNS)
@@ -41,19 +45,30 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    A null or empty text holds none.  Of an id's rows only those whose own text
+    holds an item go; repeated rows go together.
+    """
     keyed = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "text"))
     found = leaks.find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
     return keyed.join(found.select("_row").distinct(), "_row", "left_anti").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources drawn to their target words; a document drawn twice has two rows."""
+    """Sources drawn to their target words; a document drawn twice has two rows.
+
+    Null, empty and blank texts have no words and are not drawn.  Rows without a
+    source are a source.  Repeated rows are drawn each for itself.
+    """
     return mixing.drawn(mixing.mix(docs.select(*COLUMNS)), COLUMNS)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Eight shards of nearly equal bytes, with the place of each row."""
+    """Eight shards of nearly equal bytes, with the place of each row.
+
+    A null text weighs one byte, as an empty one.  Repeated rows are in one shard.
+    """
     return shards.shard(docs.select(*COLUMNS))
 
 

@@ -93,7 +93,7 @@ def test_shards(stages):
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages", "labels", "benchmark"):
+    for table in ("documents", "pages", "labels", "benchmark", "embeddings"):
         db.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = entry.queries()[name](spark, SF)
     result = db.execute(entry.oracle_sql()[name])
@@ -113,3 +113,30 @@ def test_contract_columns(spark):
         assert set(columns.split()) <= set(entry.queries()[name](spark, SF).columns)
     got = entry.queries()["op1_line_dedup"](spark, SF).first()
     assert len(got.kept_sha256) == len(hashlib.sha256(b"").hexdigest())
+
+
+AWKWARD = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, " \n\t", None, "a", 3), (None, "Some words of a text without an id.", "en", "b", 35), (None, None, None, None, None),
+           (5, "The same words stand here twice, and nothing else does.", "en", "b", 54), (5, "The same words stand here twice, and nothing else does.", "en", "b", 54),
+           (6, "long " * 20_000, "en", "a", 100_000)]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_take_awkward_rows_and_other_columns(spark, name, stage):
+    """Nulls, empty and long texts, repeats, an empty table, and columns with names that stages use themselves."""
+    docs = spark.createDataFrame(AWKWARD, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "'x' AS size", "'x' AS shard", "1 AS _row", "'y' AS quality_score", "2 AS taken", "'z' AS component_id", "'k' AS key")
+    out = stage(spark, docs, SF)
+    rows = [(r.doc_id, r.text) for r in out.collect()]
+    given = {(r[0], r[1]) for r in AWKWARD}
+    assert set(rows) <= given
+    if name == "near duplicates":
+        assert sorted(i for i, _ in rows if i is not None) == [1, 2, 3, 5, 6] and sum(i is None for i, _ in rows) == 2
+    elif name == "decontamination":
+        assert len(rows) == len(AWKWARD)
+    elif name == "mixing":
+        assert all(t and t.strip() for _, t in rows) and rows.count(rows[0]) <= 4
+    elif name == "sharding":
+        assert len(rows) == len(AWKWARD) and {"shard_size", "shard", "slot"} <= set(out.columns)
+    if name != "sharding":
+        assert out.columns == corpus_pipeline.COLUMNS
+    assert stage(spark, docs.limit(0), SF).collect() == []
