@@ -95,11 +95,14 @@ def mix(
     new = ("size", "source_size", "target", "taken", "pieces")
     docs = docs.drop(*new)
     spark = docs.sparkSession
-    # the caller's columns travel as one, so that no name of theirs meets one of these
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    place = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col))
-    sized = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).alias("source"), size.alias("size"), place.alias("place"))
-    narrow = written(sized.drop("row"), "mix-sizes")
+    # the caller's columns are renamed, so that no name of theirs meets one of these
+    names = [f"user_{i}" for i in range(len(docs.columns))]
+    user = dict(zip((c.lower() for c in docs.columns), names))
+    text, source, doc_id = (F.col(user[c.lower()]) for c in (text_col, source_col, id_col))
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    place = F.xxhash64(F.lit(seed), doc_id, F.xxhash64(text))
+    sized = docs.toDF(*names).select(*names, source.alias("source"), size.alias("size"), place.alias("place"))
+    narrow = written(sized.drop(*names), "mix-sizes")
     found = narrow.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -120,7 +123,7 @@ def mix(
         sliced(narrow).groupBy("_source", "_slice").agg(F.sum("size").alias("_words"))
         .select(F.col("_source").alias("_of"), F.col("_slice").alias("_at"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
     )
-    within = W.partitionBy("_source", "_slice").orderBy("place", F.col(f"row.{id_col}")).rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("_source", "_slice").orderBy("place", doc_id).rowsBetween(W.unboundedPreceding, -1)
     laid = (
         sliced(sized).withColumn("_first", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(starts, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_slice") == F.col("_at")))
@@ -133,7 +136,7 @@ def mix(
         'words', least(end - _first - e * source_size, size) - greatest(if(s = 0, 0L, _ends[s - 1]) - _first - e * source_size, 0L),
         'place', xxhash64(place, s, e))))), p -> p.words > 0)""")
     laid = laid.withColumn("pieces", pieces).withColumn("taken", F.expr("aggregate(pieces, 0L, (n, p) -> n + p.words)"))
-    return laid.select("row.*", *new)
+    return laid.select(*names, *new).toDF(*docs.columns, *new)
 
 
 def drawn(mixed: DataFrame, columns: list[str]) -> DataFrame:
