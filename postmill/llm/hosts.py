@@ -29,15 +29,29 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "(?s)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    last_two = F.substring_index(host, ".", -2)
-    return F.when(last_two.isin(*TWO_LABEL_SUFFIXES), last_two).otherwise(F.substring_index(host, ".", -1))
+def name_of(host: Column) -> Column:
+    """The host without user and port: what a reputation belongs to."""
+    return F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), ":[0-9]*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    """Registered domain: the suffix and one label."""
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def with_domains(names: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Add the ``suffix`` and the registered ``domain`` (suffix and one label) of each ``name``; addresses stay whole.
+
+    ``suffixes`` has a column ``suffix``, of any number of labels; the longest
+    that ends a name counts, else its last label.  Without it the built-in list
+    of two labels is used.
+    """
+    address = F.col("name").rlike(r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$")
+    if suffixes is None:
+        labels = F.when(F.substring_index("name", ".", -2).isin(*TWO_LABEL_SUFFIXES), 2).otherwise(1)
+        names = names.withColumn("_labels", labels)
+    else:
+        ends = names.select("name").distinct().withColumn("_labels", F.explode(F.sequence(F.lit(1), F.size(F.split("name", r"\.")))))
+        ends = ends.withColumn("suffix", F.expr("substring_index(name, '.', -_labels)")).join(suffixes.select("suffix"), "suffix", "left_semi")
+        longest = ends.groupBy("name").agg(F.max("_labels").alias("_labels"))
+        names = names.join(longest, "name", "left").withColumn("_labels", F.coalesce("_labels", F.lit(1)))
+    end = lambda more: F.when(address, F.col("name")).otherwise(F.expr(f"substring_index(name, '.', -(_labels + {more}))"))
+    return names.withColumns({"suffix": end(0), "domain": end(1)}).drop("_labels")
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -63,17 +77,17 @@ def _weight(level: DataFrame) -> float:
     return 1 / within - 1
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
-    """Posterior bad rate of each host: ``host, n, bad, rate, lower``.
+def reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645, suffixes: DataFrame | None = None) -> DataFrame:
+    """Posterior bad rate of each name: ``name, n, bad, rate, lower``.
 
-    ``pages`` has ``page_id, host``; ``outcomes`` has ``page_id, bad`` (0/1).
-    Hosts without labelled pages have the posterior of their domain.
+    ``pages`` has ``page_id, name``; ``outcomes`` has ``page_id, bad`` (0/1).
+    Names without labelled pages have the posterior of their domain.
     """
     counts = (
-        pages.join(outcomes, "page_id", "left").groupBy("host")
+        pages.join(outcomes, "page_id", "left").groupBy("name")
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-        .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     )
+    counts = with_domains(counts, suffixes)
     counts = written(counts, "host-counts")
     total = counts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     mean = ((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2)
@@ -89,13 +103,14 @@ def reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataF
 
     suffixes = of("suffix", None, "suffix")
     domains = of("domain", suffixes, "suffix")
-    hosts = of("host", domains, "domain")
+    hosts = of("name", domains, "domain")
     size = F.col("alpha") + F.col("beta")
     deviation = F.sqrt(F.col("alpha") * F.col("beta") / (size * size * (size + 1)))
-    return hosts.select("host", "n", "bad", "rate", (F.col("rate") - z * deviation).alias("lower"))
+    return hosts.select("name", "n", "bad", "rate", (F.col("rate") - z * deviation).alias("lower"))
 
 
-def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url",
+               suffixes: DataFrame | None = None) -> DataFrame:
     """Verdict of each page: ``id, host, path, rule, verdict, rate, lower``.
 
     A rule ``host/path`` fits its host and all subdomains if the url's path
@@ -103,6 +118,10 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, st
     page is blocked if the lower posterior bound of its host's bad rate is above
     ``threshold``.
 
+    A host's reputation does not depend on user and port; addresses are their own
+    domain and suffix.  ``suffixes`` (see ``with_domains``) says below which names
+    domains are registered.
+
     ``outcomes`` is ``id, bad`` with one row per labelled page.  Null urls and
     urls without ``://`` have empty host and path and share one reputation.
     Repeated rows each get a verdict and, if labelled, each count.  Without any
@@ -110,9 +129,9 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, st
     ignored; an empty table gives an empty result.
     """
     url = F.col(url_col)
-    parsed = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    known = reputation(parsed.select("page_id", "host"), outcomes.toDF("page_id", "bad").where("bad IS NOT NULL"))
+    parsed = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("name", name_of(F.col("host")))
+    known = reputation(parsed.select("page_id", "name"), outcomes.toDF("page_id", "bad").where("bad IS NOT NULL"), suffixes=suffixes)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = parsed.join(known.select("host", "rate", "lower"), "host", "left").withColumns({"rule": rule, "verdict": verdict})
+    judged = parsed.join(known.select("name", "rate", "lower"), "name", "left").withColumns({"rule": rule, "verdict": verdict})
     own = F.when(F.col("lower") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return judged.select(F.col("page_id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "rate", "lower")

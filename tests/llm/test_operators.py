@@ -151,6 +151,25 @@ def test_urls(spark):
     assert {r.verdict for r in hosts.filter_urls(pages, outcomes.limit(0), []).collect()} == {"allow"}
 
 
+def test_names_and_domains(spark):
+    rows = {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "x.org": ("org", "x.org"), "org": ("org", "org"), "u:p@w.x.org:8080": ("org", "x.org"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"),
+        "[2001:db8::1]:443": ("[2001:db8::1]",) * 2, "a.b.c.d.example": ("example", "d.example"), "": ("", ""),
+    }
+    df = spark.createDataFrame([(h,) for h in rows], "host string").withColumn("name", hosts.name_of(hosts.F.col("host")))
+    assert {r.host: (r.suffix, r.domain) for r in hosts.with_domains(df).collect()} == rows
+    table = spark.createDataFrame([("c.d.example",), ("d.example",), ("org",)], "suffix string")
+    got = {r.host: (r.suffix, r.domain) for r in hosts.with_domains(df, table).collect()}
+    assert got == rows | {"a.b.co.uk": ("uk", "co.uk"), "a.b.c.d.example": ("c.d.example", "b.c.d.example")}
+
+
+def test_reputation_ignores_port_and_user(spark):
+    pages = spark.createDataFrame([(n, f"http://bad.org:{8000 + n}/x") for n in range(40)] + [(99, "http://me@bad.org/")] + [(200 + n, f"http://good.org/{n}") for n in range(40)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(n, 1) for n in range(40)] + [(200 + n, 0) for n in range(40)], "p long, b int")
+    got = {r.page_id: r for r in hosts.filter_urls(pages, outcomes, [], suffixes=spark.createDataFrame([("org",)], "suffix string")).collect()}
+    assert got[99].verdict == "block" and got[99].host == "me@bad.org" and got[0].host == "bad.org:8000" and got[201].verdict == "allow"
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (5, 5), (20, 21), (20, 21), (22, 20)] + [(100 + i, 101 + i) for i in range(40)]
     got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
