@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Iterable
 from functools import reduce
+from html import entities
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,6 +53,14 @@ def _unescape(text: Column) -> Column:
     return _text_function(html.unescape)(text)
 
 
+def _unescape_terminated(text: Column) -> Column:
+    def known(match) -> str:
+        name = match.group(0)[1:]
+        return html.unescape(match.group(0)) if name[0] == "#" or name in entities.html5 else match.group(0)
+
+    return _text_function(lambda t: re.sub(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{0,31});", known, t))(text)
+
+
 def _nfkc(text: Column) -> Column:
     return _text_function(lambda t: unicodedata.normalize("NFKC", t))(text)
 
@@ -66,16 +76,17 @@ def has_rare_entity(text: Column) -> Column:
     return F.contains(text, F.lit("&")) & text.rlike(RARE_ENTITY)
 
 
-def decode_entities(text: Column) -> Column:
+def decode_entities(text: Column, unterminated: bool = True) -> Column:
     """HTML entities decoded, once, over the whole text.
 
     Common entities are replaced in the JVM.  Only texts with another entity
-    cross to Python; the rest are sent as null, which costs nothing.
+    cross to Python; the rest are sent as null, which costs nothing.  References
+    without semicolon count if ``unterminated``.
     """
     common = text
     for entity, char in COMMON_ENTITIES:
         common = F.replace(common, F.lit(entity), F.lit(char))
-    decoded = _unescape(F.when(has_rare_entity(text), text))
+    decoded = (_unescape if unterminated else _unescape_terminated)(F.when(has_rare_entity(text), text))
     return F.when(F.contains(text, F.lit("&")), F.coalesce(decoded, common)).otherwise(text)
 
 
@@ -146,15 +157,16 @@ def _collapsed(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns({name: F.trim(name) for name in columns})
 
 
-def add_clean_text(df: DataFrame, columns: dict[str, str], decoded: bool = False) -> DataFrame:
+def add_clean_text(df: DataFrame, columns: dict[str, str], decoded: bool = False, unterminated: bool = True) -> DataFrame:
     """Add cleaned, lower-case copies of text columns (``{input: output}``).
 
-    ``decoded`` says the inputs have their HTML entities decoded already.
+    ``decoded`` says the inputs have their HTML entities decoded already; else
+    references without semicolon are decoded if ``unterminated``.
     """
     outs = list(columns.values())
     df = df.withColumns({out: F.coalesce(F.col(name), F.lit("")) for name, out in columns.items()})
     if not decoded:
-        df = df.withColumns({out: decode_entities(F.col(out)) for out in outs})
+        df = df.withColumns({out: decode_entities(F.col(out), unterminated) for out in outs})
     df = _without_markup(df, outs, " URL ")
     df = _each(df, outs, lambda t: _has(t, "\n-", "\n_"), cut_signature)
     quoted = lambda t: _has(t, "wrote:") | (_has(t, "\nSent:") & _has(t, "\nTo:"))

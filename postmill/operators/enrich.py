@@ -20,9 +20,13 @@ def _raw(subject: str = "subject", body: str = "body") -> Column:
     return F.concat(F.coalesce(subject, F.lit("")), F.lit(" "), F.coalesce(body, F.lit("")))
 
 
-def clean_corpus(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Add cleaned copies of any text columns."""
-    return text.add_clean_text(df, columns)
+def clean_corpus(df: DataFrame, columns: dict[str, str], unterminated: bool = True) -> DataFrame:
+    """Add cleaned copies of any text columns.
+
+    ``unterminated`` decodes references without semicolon too, as browsers do;
+    without it a text cut within a reference keeps what is left of it.
+    """
+    return text.add_clean_text(df, columns, unterminated=unterminated)
 
 
 def _decoded(emails: DataFrame) -> DataFrame:
