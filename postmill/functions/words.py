@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..session import small_batches
 from . import rules
 from .sql import all_of, any_of
 
@@ -185,8 +186,9 @@ class Seen:
 def add_seen(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Scan text columns for the words: ``{text column: name for Seen}``.
 
-    All texts of a row cross to Python together, once.
+    All texts of a row cross to Python together, once, in small batches.
     """
+    small_batches(df.sparkSession)
     df = df.withColumns({name: _masks(F.col(text)) for text, name in columns.items()})
     flat = [
         f"coalesce({name}.{column.removeprefix(name + '_')}, 0L) AS {column}"

@@ -40,6 +40,20 @@ def local_session(cores: int | str = "*", app: str = "postmill", **conf: str) ->
     return builder.getOrCreate()
 
 
+#: Bytes and rows of one exchange with a Python worker.  A worker keeps a batch several times over (as
+#: Arrow, as strings, lower-cased), and there is one worker per function and task.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds, whatever the texts; a session that asks for less keeps that."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, most)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables that all executors see.
 
