@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from .sql import all_of, any_of, text_literal
-from .words import NEEDS, Seen, hint_words, literal_pieces
+from .words import NEEDS, Seen, first_letters, hint_words, literal_pieces
 
 #: Java flags that give Python's meaning to the shared patterns: Unicode
 #: character classes, and "." stopping at "\n" only.
@@ -17,9 +17,20 @@ def found(column: str, regex: str) -> str:
     return f"rlike({column}, {text_literal(regex)})"
 
 
+def may_hold(seen: Seen, patterns: Iterable[str]) -> str:
+    """Has the text the words that one of the signal patterns needs?"""
+    return any_of(all_of(seen.any(group) for group in NEEDS[pattern]) for pattern in patterns)
+
+
 def holds(seen: Seen, lowered: str, pattern: str) -> str:
-    """Does the signal pattern occur in the lower-cased text column?"""
-    return all_of([*(seen.any(group) for group in NEEDS[pattern]), found(lowered, CASE_SENSITIVE + pattern)])
+    """Does the signal pattern occur in the lower-cased text column?
+
+    The first letter is tested before the word boundary, which costs far more
+    per character.
+    """
+    start = first_letters(pattern)
+    regex = CASE_SENSITIVE + (f"(?=[{start}])" if start else "") + pattern
+    return all_of([*(seen.any(group) for group in NEEDS[pattern]), found(lowered, regex)])
 
 
 def holds_any(seen: Seen, lowered: str, patterns: Iterable[str]) -> str:

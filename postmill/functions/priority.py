@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from . import rules
 from .entities import moment
-from .matching import IGNORE_CASE, holds_any
+from .matching import IGNORE_CASE, holds_any, may_hold
 from .sql import first_of, map_of, text_literal
-from .words import Seen
+from .words import SIGNALS, Seen
 
 
 def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
@@ -20,6 +20,11 @@ def lookup(key: Column, table: dict, default: Column | None = None) -> Column:
     return value if default is None else F.coalesce(value, default)
 
 
+def lowered_for_signals(seen: Seen, raw: str) -> Column:
+    """The text in lower case where a signal may match; null where no pattern reads it."""
+    return F.when(F.expr(may_hold(seen, SIGNALS)), F.lower(raw))
+
+
 def action_detected(seen: Seen, lowered: str) -> Column:
     return F.expr(holds_any(seen, lowered, rules.ACTION_PATTERNS))
 
@@ -53,7 +58,7 @@ def add_priority(
 ) -> DataFrame:
     """Add factors, reasons, score, level, urgency and the action flag.
 
-    ``lowered`` is the lower-cased raw subject and body, ``seen`` its words.  ``action``,
+    ``lowered`` is the lower-cased raw subject and body (``lowered_for_signals``), ``seen`` its words.  ``action``,
     ``deadline_text`` and ``deadline_time`` are optional columns with what is
     already known; a null there means "not known" and the text decides.
     """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, text
 from ..functions.entities import add_entities, add_relative_deadline, entity_deadline, moment
 from ..functions import intent as intents
-from ..functions.priority import action_detected, add_priority
+from ..functions.priority import action_detected, add_priority, lowered_for_signals
 from ..functions.words import Seen, add_seen, drop_seen
 from .classify import add_keyword_category
 from .sentiment import score_sentiment
@@ -102,11 +102,12 @@ def score_priority(
     deadline_time: str | None = None,
 ) -> DataFrame:
     """Add priority score, level, urgency, action flag, reasons and factors."""
-    df = add_seen(emails.withColumn("_lowered", F.lower(_raw())), {"_lowered": "_words"})
+    df, seen = add_seen(emails.withColumn("_raw", _raw()), {"_raw": "_words"}, signals_only=True), Seen("_words")
+    df = df.withColumn("_lowered", lowered_for_signals(seen, "_raw"))
     df = add_priority(
-        df, "_lowered", Seen("_words"), slug, "sender_email", as_of, action, deadline_text, deadline_time
+        df, "_lowered", seen, slug, "sender_email", as_of, action, deadline_text, deadline_time
     )
-    return drop_seen(df, "_words").drop("_lowered")
+    return drop_seen(df, "_words").drop("_raw", "_lowered")
 
 
 def key_points(entities: Column) -> Column:
@@ -152,7 +153,7 @@ def enrich_rows(
     df = add_relative_deadline(df, "entity_text", of_entity, as_of, "_relative", "deadline_datetime")
     df = df.withColumns({
         "deadline_text": F.coalesce("_relative", entity_deadline(F.col("entities"))),
-        "_lowered": F.lower("_raw"),
+        "_lowered": lowered_for_signals(raw, "_raw"),
     })
     df = add_keyword_category(df, seen=of_class) if classify is None else classify(df)
     df = intents.add_intent(df, "_raw", raw, "slug")

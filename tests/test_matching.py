@@ -49,3 +49,48 @@ def test_the_scan_finds_the_words():
     for row, text in zip(found.itertuples(index=False), texts):
         mask = sum(getattr(row, f"lower{i}") << (words.BITS * i) for i in range(words.FIELDS))
         assert [w for n, w in enumerate(words.WORDS) if mask >> n & 1] == [w for w in words.WORDS if w in (text or "").lower()]
+
+
+def screened(texts):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.match_substring_regex(pc.ascii_lower(pa.array(texts, pa.string())), words.SCREEN).to_pylist()
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.data())
+def test_the_screen_lets_every_signal_pass(data):
+    pattern = data.draw(st.sampled_from(PATTERNS))
+    match = data.draw(st.from_regex(re.compile(pattern)))
+    if re.search(pattern, match.lower()):
+        assert screened([match, match.upper() if match.upper().lower() == match.lower() else match]) == [True, True]
+    start = words.first_letters(pattern)
+    assert start is None or re.search(f"(?=[{start}]){pattern}", match.lower()) or not re.search(pattern, match.lower())
+
+
+def test_only_texts_with_signals_are_scanned():
+    import pandas as pd
+    import pyarrow as pa
+
+    scan, scanned = words._scanner(words.WORDS, words.BITS, words.FIELDS), []
+
+    def watched(texts):
+        scanned.extend(texts)
+        return scan(texts)
+
+    # the first texts hold words of the signals, but no signal
+    texts = ["By the way, at noon on the sea", None, "", "an exam and a test on sets", "Please CONFIRM", "by the 31", "Kindly reply", "Respond İn time"]
+    found = words._screened(watched, words.SCREEN, words.SCHEMA.names)(pa.array(texts))
+    assert scanned == texts[4:]
+    assert found.slice(4).to_pylist() == scan(pd.Series(texts[4:])).to_dict("records")
+    assert all(bits == 0 for row in found.slice(0, 4).to_pylist() for bits in row.values())
+
+
+def test_nothing_is_lowered_for_texts_without_signals(emails):
+    from postmill.functions.priority import lowered_for_signals
+    from postmill.functions.words import Seen, add_seen
+
+    df = add_seen(emails(("s", "By the way", None, "other"), ("s", "PLEASE Confirm", None, "other")), {"body": "_w"}, signals_only=True)
+    rows = df.select("body", lowered_for_signals(Seen("_w"), "body").alias("lowered")).collect()
+    assert [r.lowered for r in rows] == [None, "please confirm"]
