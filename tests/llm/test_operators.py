@@ -275,6 +275,66 @@ def test_search_in_several_passes(docs, monkeypatch):
     assert Counter(map(tuple, search.top_k(docs, queries).collect())) == Counter(map(tuple, one))
 
 
+def prose(n):
+    """Documents of frequent and rare words, 3 to 60 each."""
+    rng = np.random.default_rng(7)
+    return [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(3, 60)) % 5000)) for i in range(n)]
+
+
+def test_search_tasks_start_with_limits(spark, monkeypatch):
+    """Most tasks know what a row has to reach, so they hand on far fewer than k rows a query."""
+    monkeypatch.setattr(search, "BLOCK_DOCS", 5)
+    rows, real = [], search.written
+
+    def counted(df, name, *a, **k):
+        out = real(df, name, *a, **k)
+        if name == "found":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "written", counted)
+    docs = spark.createDataFrame(prose(600), "doc_id long, text string").repartition(60, "doc_id")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "8k" if "max" in k else "0")
+        got = search.top_k(docs, docs.where("doc_id % 30 = 0").withColumnRenamed("doc_id", "query_id"), k=3).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == 20 * 3 and sum(rows) < 60 * 20 * 3 / 2
+    assert all(r.doc_id == r.query_id for r in got if r["rank"] == 1)
+
+
+@pytest.mark.parametrize("common, pairs", [(-1, 10), (0.01, 50), (0.004, 200_000), (1, 1)])
+def test_search_by_matrix_and_by_postings(spark, monkeypatch, common, pairs):
+    """Whichever terms go through the matrix, and whatever is handled at once, rows and scores are those of every pair compared."""
+    rows = prose(90) + [(100, "w1 w2"), (101, "w1 w2"), (102, ""), (103, None)]
+    words = {i: search_words(t) for i, t in rows}
+    asked = [np.unique(search.terms(t, search._Terms())) for _, t in rows]
+    vocabulary, df = np.unique(np.concatenate(asked), return_counts=True)
+    q = search._Queries(np.concatenate(asked), np.array([a.size for a in asked]), vocabulary, df, len(rows))
+    mean = sum(sum(c.values()) for c in words.values()) / len(rows)
+    monkeypatch.setattr(search, "BLOCK_DOCS", 16)
+    blocks = [r.asDict() for r in search.index(spark.createDataFrame(rows, "id long, text string")).collect()]
+    monkeypatch.setattr(search, "COMMON", common)
+    monkeypatch.setattr(search, "PAIRS", pairs)
+    best = search._Best(np.full(len(rows), -np.inf), 4)
+    for lo in range(0, len(blocks), 2):
+        search._search([search._Block(b, q, mean, 1.2, 0.75) for b in blocks[lo : lo + 2]], q, best)
+    df, expected = Counter(w for c in words.values() for w in c), []
+    for n, (i, _) in enumerate(rows):
+        found = []
+        for j, c in words.items():
+            length = sum(c.values())
+            s = sum(math.log(1 + (len(rows) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * length / mean)) for w in words[i] if c[w])
+            if s > 0:
+                found.append((-round(s, 6), j))
+        expected += [(n, j, -s) for s, j in sorted(found)[:4]]
+    assert [(int(a), c) for a, _, c in zip(*best.rows)] == [x[:2] for x in expected]
+    assert best.rows[1] == pytest.approx([x[2] for x in expected], abs=2e-6)
+
+
 @pytest.mark.parametrize("tolerance", [0.01, 0.3])
 def test_shards(docs, none, tolerance):
     got = shards.shard(clashing(docs.unionByName(docs.where("doc_id < 20")).where("doc_id IS NULL OR doc_id <> 80")), tolerance=tolerance, slot_rows=3).collect()
